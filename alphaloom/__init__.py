@@ -1,0 +1 @@
+"""Cross-sectional equity factor analytics on Spark DataFrames."""
