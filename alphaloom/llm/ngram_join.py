@@ -228,6 +228,7 @@ def _match(texts: DataFrame, reps: DataFrame, depth: int, above: int | None, thr
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     spot = F.struct("tree", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk")
     places = tables.save(members.groupBy("rep").agg(F.collect_list(spot).alias("blocks")))  # at most one prefix a tree
-    full = texts.join(places, texts["doc_id"] == places["rep"]).join(reps, "rep").select("rep", "text", "blocks", "copies", "sig")
+    # One plan at every size: the texts meet their places by a sort-merge join, small places too.
+    full = texts.join(places.hint("merge"), texts["doc_id"] == places["rep"]).join(reps.hint("merge"), "rep").select("rep", "text", "blocks", "copies", "sig")
     shipped = full.mapInArrow(_ship, "tree int, key long, i int, j int, chunk int, rep long, copies long, sig binary, shingles binary")
     return shipped.groupBy("tree", "key", "i", "j").applyInArrow(_verify(depth, above, threshold), _LINK_SCHEMA)
