@@ -4,7 +4,8 @@ Voters are a seed lexicon, lexicons mined from labelled training rows, and patte
 document. A generative label model with one latent class estimates, from how often each combination of votes occurs
 over all documents, every voter's accuracy on both classes and the correlations of voters that fire together more than
 the class explains; with at most twelve voters its normaliser is summed exactly over all combinations. A linear classifier is
-then trained on the posterior labels of a bounded sample, with the words behind the voters as its features.
+then trained on the posterior labels of a bounded sample, with the words behind the voters as its features. Labels given
+for training rows choose the mined terms and fix the class of those rows in the label model; they are no targets.
 
 Bounds (parameters): `sample` labelled training rows for mining and for the classifier, `terms` mined terms. Votes and
 their counts cover all documents. Rows of the held-out fold never lend their labels.
@@ -212,15 +213,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000, ter
         return hits.select("doc_id", F.lit(False).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     posterior = LabelModel().fit(counts).posterior()
 
-    got = hits.join(F.broadcast(chosen), "doc_id").select("ids", "counts", "votes", "toxic", F.xxhash64("ids", "counts", "words").alias("same")).toPandas()
+    got = hits.join(F.broadcast(chosen), "doc_id").select("ids", "counts", "votes", F.xxhash64("ids", "counts", "words").alias("same")).toPandas()
     if len(got) == 0:
-        got = hits.filter(F.rand(7) < sample / counts.sum()).select("ids", "counts", "votes", F.lit(None).cast("int").alias("toxic"), F.lit(0).alias("same")).toPandas()
+        got = hits.filter(F.rand(7) < sample / counts.sum()).select("ids", "counts", "votes", F.lit(0).alias("same")).toPandas()
     x = np.zeros((len(got), len(vocabulary)), np.float32)
     for i, (ids, cs) in enumerate(zip(got["ids"], got["counts"])):
         x[i, ids] = np.log1p(cs)
-    model = posterior[got["votes"].to_numpy()]
-    gold = got["toxic"].to_numpy(float, na_value=np.nan)
-    y = np.where(np.isnan(gold), model, 0.1 * model + 0.9 * np.nan_to_num(gold))
+    y = posterior[got["votes"].to_numpy()]  # the posterior alone: given labels shape the label model, never the targets
     weight = 1 / got.groupby("same")["same"].transform("size").to_numpy() if got["same"].any() else None
     w = fit_linear(x, y, weight)
 
