@@ -172,12 +172,13 @@ CLEAR_TERMS = ("momentum", "return", "volatility", "volume", "liquidity", "trend
 def redundancy(classed: DataFrame, pairs: DataFrame, limit: float = 0.85) -> DataFrame:
     """Adds redundancy_group_id and redundancy_decision: of candidates linked by |correlation| >= limit, one stays.
 
-    The graph of at most some dozens of candidates is made on the driver. The keeper has the stronger class, then smaller
+    The table has one row a signal; it and the graph of its candidates are held on the driver. The keeper has the stronger class, then smaller
     beta_p, larger |beta_t|, |ic_t| and avg_r2, less missing, the clearer name and at last the first name.
     """
     col, alpha = F.col, F.col("alpha")
-    out = classed.withColumn("_candidate", col("aligned_action") != "exclude")
-    names = sorted(r["alpha"] for r in out.filter("_candidate").select("alpha").collect())
+    rows = classed.collect()  # one row a signal; read once, so that the panel behind it is not computed again
+    out = classed.sparkSession.createDataFrame(rows, classed.schema).withColumn("_candidate", col("aligned_action") != "exclude")
+    names = sorted(r["alpha"] for r in rows if r["aligned_action"] != "exclude")
     known = set(names)
     edges = [(r["a"], r["b"], r["corr"]) for r in pairs.filter(F.abs("corr") >= limit).select("a", "b", "corr").collect()]
     heads = correlated_components(names, [e for e in edges if e[0] in known and e[1] in known], limit)

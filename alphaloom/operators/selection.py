@@ -79,24 +79,6 @@ def linear_score(beta_t: Column, ic_t: Column, spread_t: Column) -> Column:
     return 0.40 * part(beta_t) + 0.35 * part(ic_t) + 0.25 * part(spread_t)
 
 
-def direction(ic: Column, beta: Column) -> Column:
-    return F.when((ic > 0) & (beta > 0), "positive").when((ic < 0) & (beta < 0), "negative").otherwise("mixed")
-
-
-def classify(ic_t: Column, beta_t: Column, agree: Column, strong: float = 3.0, weak: float = 2.0) -> Column:
-    """Evidence class of a signal from its two t statistics and whether their signs agree."""
-    a, b = F.abs(ic_t), F.abs(beta_t)
-    both = F.least(a, b)
-    return (
-        F.when(ic_t.isNull() | beta_t.isNull(), "no_evidence").when((both >= strong) & agree, "strong").when((both >= weak) & agree, "confirmed")
-        .when((both >= weak) & ~agree, "conflicting").when(a >= weak, "ic_only").when(b >= weak, "beta_only").when(F.greatest(a, b) >= 1, "weak").otherwise("noise")
-    )
-
-
-def recommend(kind: Column) -> Column:
-    return F.when(kind.isin("strong", "confirmed"), "keep").when(kind.isin("noise", "no_evidence"), "drop").otherwise("review")
-
-
 def sign_agreement(table: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """Share of rows whose two measures agree in sign, zeros left out."""
     same = F.when((F.col(a) != 0) & (F.col(b) != 0), (F.signum(a) == F.signum(b)).cast("double"))

@@ -341,21 +341,6 @@ def redundancy_clusters(spark, d):
     return selection.redundancy_clusters(summary, selection.pair_correlation(panel, P.NAMES, ["date", "ticker"], rank=True))
 
 
-@query("classify", f"""WITH {S.MONTH}, {S.IC}, {_SUMMARY}, {S.OLS}, b AS (SELECT alpha, avg(beta) / (stddev_samp(beta) / sqrt(count(*))) AS beta_t FROM ols GROUP BY 1),
-e AS (SELECT alpha, t_stat AS ic_t, beta_t, sign(t_stat) = sign(beta_t) AS agree FROM s JOIN b USING (alpha)),
-k AS (SELECT *, CASE WHEN least(abs(ic_t), abs(beta_t)) >= 3 AND agree THEN 'strong' WHEN least(abs(ic_t), abs(beta_t)) >= 2 AND agree THEN 'confirmed' WHEN least(abs(ic_t), abs(beta_t)) >= 2 THEN 'conflicting'
-WHEN abs(ic_t) >= 2 THEN 'ic_only' WHEN abs(beta_t) >= 2 THEN 'beta_only' WHEN greatest(abs(ic_t), abs(beta_t)) >= 1 THEN 'weak' ELSE 'noise' END AS class FROM e)
-SELECT alpha, {r("ic_t, beta_t", 6)}, agree, class, CASE WHEN class IN ('strong', 'confirmed') THEN 'keep' WHEN class = 'noise' THEN 'drop' ELSE 'review' END AS recommendation,
-round(0.40 * least(abs(beta_t) / 3, 1) + 0.35 * least(abs(ic_t) / 3, 1), 6) AS score FROM k""", 6)
-def classify(spark, d):
-    pairs = _pairs(spark, d)
-    ic = evaluation.ic_summary(evaluation.daily_rank_ic(pairs)).select("alpha", F.col("t_stat").alias("ic_t"))
-    beta = evaluation.fama_macbeth(pairs, least=50).select("alpha", F.col("t_plain").alias("beta_t"))
-    e = ic.join(beta, "alpha").withColumn("agree", F.signum("ic_t") == F.signum("beta_t"))
-    e = e.withColumn("class", selection.classify(F.col("ic_t"), F.col("beta_t"), F.col("agree")))
-    return e.withColumn("recommendation", selection.recommend(F.col("class"))).withColumn("score", selection.linear_score(F.col("beta_t"), F.col("ic_t"), F.lit(None).cast("double")))
-
-
 @query("date_split", f"WITH {S.BARS}, q AS (SELECT DISTINCT date FROM bars), k AS (SELECT date, row_number() OVER (ORDER BY date) AS k, count(*) OVER () AS n FROM q) SELECT date, CASE WHEN k <= floor(n * 0.6) THEN 'train' WHEN k <= floor(n * 0.8) THEN 'val' ELSE 'test' END AS split FROM k")
 def date_split(spark, d):
     return splits.date_split(P.bars(spark, d))

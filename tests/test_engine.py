@@ -192,7 +192,7 @@ def test_stream_bars(spark, tmp_path):
     assert (got[1]["open"], got[1]["close"], got[1]["volume"], got[1]["daily_vwap"]) == (3.0, 2.0, 4.0, 1.75) and 9 in got
 
 
-@pytest.mark.parametrize("name", ["momentum_top10", "cs_a", "fama_macbeth", "simulate_weighted", "universe", "signal_stats", "thin_groups", "classify", "factors_long", "alpha_55"])
+@pytest.mark.parametrize("name", ["momentum_top10", "cs_a", "fama_macbeth", "simulate_weighted", "universe", "signal_stats", "thin_groups", "classify", "beta_summary", "fama_macbeth_controls", "method_groups", "final_candidates", "factors_long", "alpha_55"])
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
