@@ -75,7 +75,11 @@ def enrich(panel: DataFrame, factors: DataFrame | None = None, market: DataFrame
     if market is None:
         out = out.withColumn("alpha_60", null)
     else:
-        out = market_beta(out.join(F.broadcast(market.select("date", "market_return")), "date", "left"))
-    out = out.withColumn("alpha_66", null) if snapshots is None else asof_backward(out, snapshots, "float_shares").withColumn("alpha_66", div(F.col("volume"), F.col("float_shares")))
+        out = market_beta(out.join(F.broadcast(market.select("date", F.col("market_return").alias("_market"))), "date", "left"), market="_market")
+    if snapshots is None:
+        out = out.withColumn("alpha_66", null)
+    else:
+        known = asof_backward(out, snapshots.withColumnRenamed("float_shares", "_afloat"), "_afloat")
+        out = known.withColumn("alpha_66", div(F.col("volume"), F.col("_afloat")))
     out = minus_sector_median(out, "alpha_30", "alpha_34").withColumn("alpha_34", F.when(F.col("sector").isNotNull(), F.col("alpha_34")))
     return out.withColumn("alpha_35", null).select(*given, *(f"alpha_{k}" for k in (33, 34, 35, 59, 60, 66)))

@@ -130,6 +130,14 @@ def block_ndcg(grade: np.ndarray, score: np.ndarray) -> float:
     return float(grade[np.argsort(-score, kind="stable")] @ discount / best) if best > 0 else 0.0
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written and read again, without their plan: worth it for what every trial reads."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:  # a cluster names its shared folder; only a session on one machine comes here
+        sc.setCheckpointDir(tempfile.mkdtemp())
+    return df.checkpoint()
+
+
 def bin_edges(panel: DataFrame, features: list[str], bins: int) -> list[np.ndarray]:
     """Distinct approximate quantiles of each feature, from one aggregation."""
     cuts = [k / bins for k in range(1, bins)]
@@ -149,11 +157,8 @@ def blocks(panel: DataFrame, model: Model, target: str, least: int = 50) -> Data
         x = model.binned(pdf[names].to_numpy(float))
         return pd.DataFrame({"date": [pdf["date"].iloc[0]], "split": [pdf["split"].iloc[0]], "n": [len(pdf)], "x": [x.tobytes()], "grade": [pdf["grade"].to_numpy(np.uint8).tobytes()]})
 
-    sc = panel.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:  # a cluster names its shared folder; only a session on one machine comes here
-        sc.setCheckpointDir(tempfile.mkdtemp())
     kind = kept.schema["date"].dataType.simpleString()
-    return kept.groupBy("date").applyInPandas(pack, f"date {kind}, split string, n int, x binary, grade binary").checkpoint()
+    return cut(kept.groupBy("date").applyInPandas(pack, f"date {kind}, split string, n int, x binary, grade binary"))
 
 
 def _pass(data: DataFrame, model: Model, tree: Tree, level: int, use: np.ndarray) -> tuple[np.ndarray, float, int]:

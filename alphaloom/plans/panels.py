@@ -56,8 +56,8 @@ def signals(spark: SparkSession, d: str, ids: list[int], variant: str = "B") ->
     return add_signals(daily, ids, variant)
 
 
-def month_panel(spark: SparkSession, d: str, ids=ALPHAS) -> DataFrame:
+def month_panel(spark: SparkSession, d: str, ids=ALPHAS, horizons=(5,)) -> DataFrame:
     """The last row of each ticker and month (as `date`), with sector, signals and forward returns."""
-    rows = add_labels(add_signals(bars(spark, d), list(ids)), (5,))
+    rows = add_labels(add_signals(bars(spark, d), list(ids)), horizons)
     last = last_of_bucket(rows, F.trunc("date", "month")).withColumn("date", F.col("bucket")).drop("bucket")
     return last.join(gics(spark, d).select("ticker", "sector"), "ticker", "left")

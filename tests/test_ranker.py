@@ -107,7 +107,7 @@ def test_enrichment(spark):
     pdf = pd.concat(frames)
     factors = f.assign(date=days).iloc[:590]
     snaps = spark.createDataFrame([("T0", days[10], 5.0), ("T0", days[300], 0.0)], "ticker string, date date, float_shares double")
-    panel = spark.createDataFrame(pdf)
+    panel = spark.createDataFrame(pdf.assign(market_return=1.0, float_shares=2.0))  # names that clash
     out = enrichment.enrich(panel, spark.createDataFrame(factors), spark.createDataFrame(pd.DataFrame({"date": days, "market_return": market})), snaps).toPandas().sort_values(["ticker", "date"])
     x = np.column_stack([np.ones(n), f[["mkt_rf", "smb", "hml", "mom"]]])
     for t in ("T0", "T5"):
