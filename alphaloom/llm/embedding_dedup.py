@@ -4,9 +4,12 @@ A forest of random hyperplanes gives every vector a first list of neighbours. Th
 each vector (its neighbours and those that list it) are compared with each other, and each keeps the nearest it has met,
 until few lists change. Edges of at least the threshold are kept. Lists that are saturated, all of whose members pass
 the threshold, are enlarged: the connected component of kept edges takes the place of the list, and its members are
-compared exactly in blocks, so links of a group of any size are counted without emitting its pairs. An audit compares
-the links of a bounded, seeded sample of vectors with brute force; while recall is below the target, rounds go on with
-longer lists.
+compared exactly in blocks, so links of a group of any size are counted without emitting its pairs. Equal vectors are
+one weighted point. As a saturated list holds its own group alone, the saturated points then search again as units:
+within the leaves of fresh hyperplane trees all pairs of different components are compared, and one link joins two
+components. An audit compares the links of a bounded, seeded sample of vectors with brute force; while recall is below
+the target, rounds go on with longer lists and other trees. Where the last round still misses it, all pairs of different
+components are compared in blocks, which is exact and quadratic.
 
 Every cosine is taken in double precision. Bounds: in-lists are sampled to the list length within one round (other
 entries meet in later rounds, in the components and under the audit); `audit` vectors are sent to all tasks.
@@ -27,6 +30,7 @@ from .common import SharedTables, mix64
 from .graph import components
 
 BLOCK = 512
+EXACT_BLOCK = 2048
 
 
 def unit(raw: list[bytes]) -> np.ndarray:
@@ -54,8 +58,19 @@ def _vectors(embeddings: DataFrame) -> DataFrame:
     return embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, vec binary").groupBy("vec_id").agg(F.min("vec").alias("vec"))
 
 
-def _first_lists(vectors: DataFrame, trees: int, bits: int, k: int, seed: int) -> DataFrame:
-    """a, b, sim: nearest neighbours within the leaves of random hyperplane trees; large leaves are dealt at random."""
+def _equal_vectors(vectors: DataFrame, tables: SharedTables) -> DataFrame | None:
+    """vec_id, point (the smallest vec_id of an equal vector), weight, for all that have equals; none if there are none."""
+    hashed = vectors.withColumn("hash", F.xxhash64("vec"))
+    often = tables.save(hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"))
+    if often.isEmpty():
+        return None
+    some = hashed.join(often, "hash", "left_semi")
+    points = tables.save(some.groupBy("hash", "vec").agg(F.min("vec_id").alias("point"), F.count(F.lit(1)).alias("weight")).filter("weight > 1"))
+    return tables.save(some.join(points, ["hash", "vec"]).select("vec_id", "point", "weight"))
+
+
+def _leaves(vectors: DataFrame, trees: int, bits: int, seed: int) -> DataFrame:
+    """tree, leaf, draw, vec_id, vec: every vector in its leaf of each random hyperplane tree."""
 
     def keys(batches):
         for batch in batches:
@@ -72,6 +87,12 @@ def _first_lists(vectors: DataFrame, trees: int, bits: int, k: int, seed: int) -
                     draw = (mix64(ids[at].astype(np.uint64) + np.uint64((t + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(33)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(leaf[:, t]), pa.array(draw), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], ["tree", "leaf", "draw", "vec_id", "vec"])
 
+    return vectors.select("vec_id", "vec").mapInArrow(keys, "tree int, leaf long, draw long, vec_id long, vec binary")
+
+
+def _first_lists(vectors: DataFrame, trees: int, bits: int, k: int, seed: int) -> DataFrame:
+    """a, b, sim: nearest neighbours within the leaves of random hyperplane trees; large leaves are dealt at random."""
+
     def nearest(table: pa.Table) -> pa.Table:
         ids, x = table["vec_id"].to_numpy(), unit(table["vec"].to_pylist())
         sim = x @ x.T
@@ -82,7 +103,7 @@ def _first_lists(vectors: DataFrame, trees: int, bits: int, k: int, seed: int) -
         top = np.argpartition(-sim, n - 1, axis=1)[:, :n]
         return pa.table([pa.array(np.repeat(ids, n)), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(sim, top, 1).ravel())], names=["a", "b", "sim"])
 
-    dealt = vectors.mapInArrow(keys, "tree int, leaf long, draw long, vec_id long, vec binary")
+    dealt = _leaves(vectors, trees, bits, seed)
     parts = dealt.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     dealt = dealt.join(parts, ["tree", "leaf"]).withColumn("part", F.pmod("draw", "parts"))
     return dealt.groupBy("tree", "leaf", "part").applyInArrow(nearest, "a long, b long, sim double")
@@ -126,12 +147,74 @@ def _refine(lists: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return gathered.select("ids", "vecs", "worsts").mapInArrow(meet, "a long, b long, sim double")
 
 
-def _count_links(vectors: DataFrame, labels: DataFrame, threshold: float, tables: SharedTables) -> DataFrame:
-    """vec_id, n_links: exact links within each component, in blocks of bounded size."""
+def _bridges(points: DataFrame, labels: DataFrame, threshold: float, trees: int, bits: int, seed: int, block: int, tables: SharedTables) -> DataFrame:
+    """a, b: links between different components; all such pairs within a leaf are compared, in blocks of bounded size.
+
+    One component of more than a block has blocks of its own, which are not compared with each other. A pair of blocks
+    gives a forest over its components, at most one link less than it has components. Zero bits make one leaf of all.
+    """
+    named = points.join(labels.withColumnRenamed("node", "vec_id"), "vec_id", "left").select("vec_id", "vec", F.coalesce("component", "vec_id").alias("component"))
+    dealt = _leaves(named, trees, bits, seed).drop("draw").join(named.select("vec_id", "component"), "vec_id")
+    sizes = dealt.groupBy("tree", "leaf", "component").agg(F.count(F.lit(1)).alias("n"))
+    leaf = Window.partitionBy("tree", "leaf")
+    small = F.ceil(F.sum(F.when(F.col("n") <= block, F.col("n"))).over(leaf) / block)
+    sizes = sizes.withColumn("several", F.count(F.lit(1)).over(leaf) > 1).withColumn("parts", F.when(F.col("n") > block, F.ceil(F.col("n") / block)).otherwise(small).cast("int"))
+    sizes = sizes.filter("several").withColumn("owner", F.when(F.col("n") > block, F.col("component")))
+    hashed = F.when(F.col("owner").isNull(), F.xxhash64("component")).otherwise(F.xxhash64("vec_id"))
+    rows = tables.save(dealt.join(sizes.select("tree", "leaf", "component", "owner", "parts"), ["tree", "leaf", "component"]).withColumn("part", F.pmod(hashed, "parts").cast("int")))
+    parts = tables.save(rows.select("tree", "leaf", "owner", "part").distinct())
+    one, two = parts.withColumnsRenamed({"owner": "o1", "part": "p1"}), parts.withColumnsRenamed({"owner": "o2", "part": "p2"})
+    key = lambda o, p: F.struct(F.coalesce(F.col(o), F.lit(-(1 << 63))), F.col(p))
+    pairs = one.join(two, ["tree", "leaf"]).filter(key("o1", "p1") <= key("o2", "p2")).filter(F.col("o1").isNull() | F.col("o2").isNull() | (F.col("o1") != F.col("o2")))
+    pairs = tables.save(pairs.withColumn("pair", F.monotonically_increasing_id()))
+    first = pairs.select("tree", "leaf", F.col("o1").alias("o"), F.col("p1").alias("p"), "pair", F.lit(0).alias("side"))
+    second = pairs.filter(~(F.col("o1").eqNullSafe(F.col("o2")) & (F.col("p1") == F.col("p2")))).select("tree", "leaf", F.col("o2").alias("o"), F.col("p2").alias("p"), "pair", F.lit(1).alias("side"))
+    both = first.union(second).withColumnsRenamed({"tree": "t", "leaf": "l"})
+    same = (rows["tree"] == both["t"]) & (rows["leaf"] == both["l"]) & rows["owner"].eqNullSafe(both["o"]) & (rows["part"] == both["p"])
+    sent = rows.join(both, same).select("pair", "side", "vec_id", "component", "vec")
+
+    def forest(table: pa.Table) -> pa.Table:
+        side, ids = table["side"].to_numpy(), table["vec_id"].to_numpy()
+        _, comp = np.unique(table["component"].to_numpy(), return_inverse=True)
+        x = unit(table["vec"].to_pylist())
+        at, to = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        to = to if len(to) else at
+        root = np.arange(comp.max() + 1)
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        a, b = [], []
+        for start in range(0, len(at), BLOCK):
+            mine = at[start : start + BLOCK]
+            i, j = np.nonzero((x[mine] @ x[to].T >= threshold) & (comp[mine][:, None] != comp[to][None, :]))
+            i, j = mine[i], to[j]
+            _, once = np.unique(comp[i] * len(root) + comp[j], return_index=True)
+            for i, j in zip(i[once].tolist(), j[once].tolist()):
+                c, d = find(int(comp[i])), find(int(comp[j]))
+                if c != d:
+                    root[c] = d
+                    a.append(ids[i])
+                    b.append(ids[j])
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    found = tables.save(sent.groupBy("pair").applyInArrow(forest, "a long, b long"))
+    for t in (rows, parts, pairs):
+        tables.drop(t)
+    return found
+
+
+def _count_links(vectors: DataFrame, labels: DataFrame, weights: DataFrame | None, threshold: float, tables: SharedTables) -> DataFrame:
+    """vec_id, n_links: exact links to the rows of other points within each component, in blocks of bounded size."""
     sizes = tables.save(labels.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks")))
     rows = vectors.join(labels, vectors["vec_id"] == labels["node"]).join(sizes, "component")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "vec_id", "vec")
+    if weights is not None:
+        rows = rows.join(weights, "vec_id", "left")
+    weight = F.lit(1) if weights is None else F.coalesce("weight", F.lit(1))
+    rows = rows.select("component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "vec_id", "vec", weight.cast("long").alias("weight"))
 
     def count(table: pa.Table) -> pa.Table:
         ids, chunk = table["vec_id"].to_numpy(), table["chunk"].to_numpy()
@@ -140,7 +223,7 @@ def _count_links(vectors: DataFrame, labels: DataFrame, threshold: float, tables
         if table["i"][0] != table["j"][0]:
             linked &= chunk[:, None] != chunk[None, :]
         np.fill_diagonal(linked, False)
-        return pa.table([table["vec_id"], pa.array(linked.sum(1))], names=["vec_id", "n"])
+        return pa.table([table["vec_id"], pa.array(linked @ table["weight"].to_numpy())], names=["vec_id", "n"])
 
     return rows.groupBy("component", "i", "j").applyInArrow(count, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
 
@@ -179,10 +262,37 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, k: int = 10,
     vectors = tables.save(_vectors(embeddings))
     total = vectors.count()
     truth = dict(_audit(vectors, threshold, audit, total)) if total else {}
-    bits = max(1, int(np.ceil(np.log2(max(total, 2) / 64))))
-    lists = tables.save(_keep_nearest(_first_lists(vectors, trees, bits, k, seed), k))
+    equal = _equal_vectors(vectors, tables)
+    weights = None
+    if equal is not None:
+        points = tables.save(vectors.join(equal.filter("vec_id <> point"), "vec_id", "left_anti"))
+        tables.drop(vectors)
+        vectors, total = points, points.count()
+        weights = equal.filter("vec_id = point").select("vec_id", "weight")
+    bits = lambda n: max(1, int(np.ceil(np.log2(max(n, 2) / 64))))
+    lists = tables.save(_keep_nearest(_first_lists(vectors, trees, bits(total), k, seed), k))
+    known = None  # links that joined components in earlier rounds
     links = labels = None
-    for n in range(1, rounds + 1):
+
+    def count(labels: DataFrame) -> DataFrame:
+        """vec_id, n_links of all vectors that link."""
+        found = _count_links(vectors, labels, weights, threshold, tables)
+        if equal is None:
+            return tables.save(found)
+        own = equal.join(found.withColumnRenamed("vec_id", "point"), "point", "left").select("vec_id", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+        return tables.save(found.join(equal, "vec_id", "left_anti").unionByName(own))
+
+    def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+        return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), tables)
+
+    def passes(links: DataFrame) -> bool:
+        found = {r["vec_id"]: r["n_links"] for r in links.filter(F.col("vec_id").isin(list(truth))).collect()} if truth else {}
+        recall = sum(min(found.get(v, 0), c) for v, c in truth.items()) / max(1, sum(truth.values()))
+        complete = sum(found.get(v, 0) >= c for v, c in truth.items()) / max(1, len(truth))
+        return min(recall if any(truth.values()) else 1.0, complete) >= target
+
+    done = not total
+    for n in range(1, rounds + 1 if total else 1):
         fresh = tables.save(_refine(lists, vectors, k))
         both = lists.select("a", "b", "sim", F.lit(False).alias("new")).union(fresh.select("a", "b", "sim", F.lit(True)))
         new = tables.save(_keep_nearest(both.groupBy("a", "b").agg(F.max("sim").alias("sim")), k))
@@ -195,16 +305,28 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, k: int = 10,
         if labels is not None:
             tables.drop(labels)
             tables.drop(links)
-        labels = components(lists.filter(F.col("sim") >= threshold).select("a", "b"), tables)
-        links = tables.save(_count_links(vectors, labels, threshold, tables))
-        found = {r["vec_id"]: r["n_links"] for r in links.filter(F.col("vec_id").isin(list(truth))).collect()} if truth else {}
-        recall = sum(min(found.get(v, 0), c) for v, c in truth.items()) / max(1, sum(truth.values()))
-        complete = sum(found.get(v, 0) >= c for v, c in truth.items()) / max(1, len(truth))
-        if min(recall if any(truth.values()) else 1.0, complete) >= target:
+        edges = lists.filter(F.col("sim") >= threshold).select("a", "b")
+        labels = components(edges if known is None else edges.union(known), tables)
+        full = tables.save(lists.groupBy("a").agg(F.min("sim").alias("worst"), F.count(F.lit(1)).alias("n")).filter((F.col("worst") >= threshold) & (F.col("n") >= k)).select(F.col("a").alias("vec_id")))
+        if not full.isEmpty():
+            more = _bridges(vectors.join(full, "vec_id", "left_semi"), labels, threshold, trees, bits(full.count()), seed + n, BLOCK, tables)
+            if not more.isEmpty():
+                known = more if known is None else known.union(more)
+                labels = joined(labels, more)
+        links = count(labels)
+        done = passes(links)
+        if done:
             break
         k *= 2
+    if not done:  # the exact pass
+        more = _bridges(vectors, labels, threshold, 1, 0, seed, EXACT_BLOCK, tables)
+        labels = joined(labels, more)
+        links = count(labels)
     if labels is None:
         labels, links = spark.createDataFrame([], "node long, component long"), spark.createDataFrame([], "vec_id long, n_links long")
+    if equal is not None:
+        others = equal.filter("vec_id <> point").join(labels.withColumnRenamed("node", "point"), "point", "left").select(F.col("vec_id").alias("node"), F.coalesce("component", "point").alias("component"))
+        labels = tables.save(labels.unionByName(others))
     ids = embeddings.select(F.col("vec_id").cast("long"))
     out = ids.join(links, "vec_id", "left").join(labels.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))

@@ -147,6 +147,28 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies, exact", [(0, False), (30, False), (0, True)])
+def test_embeddings_of_saturated_groups(spark, copies, exact, monkeypatch):
+    """Two groups larger than any list, whose members are nearer to each other than to the other group, which they link to."""
+    rng = np.random.default_rng(5)
+    a, far = rng.standard_normal((2, 16))
+    b = a / np.linalg.norm(a) + 0.22 * (far - a * (far @ a) / (a @ a)) / np.linalg.norm(far)
+    tight = lambda c: c / np.linalg.norm(c) + 1e-3 * rng.standard_normal((40, 16))
+    x = np.vstack([tight(a), tight(b), rng.standard_normal((5, 16))])
+    x = np.vstack([x, np.repeat(x[:1], copies, 0), np.repeat(x[40:41], copies, 0)])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
+    assert link[:40, 40:80].all()
+    if exact:  # the last pass alone must find what lists and trees have missed
+        whole = embedding_dedup._bridges
+        monkeypatch.setattr(embedding_dedup, "_bridges", lambda *args: whole(*args) if args[4] == 0 else whole(*args).limit(0))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, k=10, rounds=2).collect()}
+    assert len(got) == len(x) and [got[i]["n_links"] for i in range(len(x))] == link.sum(1).tolist()
+    assert all(got[i]["component_id"] == (0 if link[i].any() else i) for i in range(len(x)))
+
+
 def test_packing(docs, rows, spark):
     got = packing.pack(docs).collect()
     whole = encoder().whole
