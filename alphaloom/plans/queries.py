@@ -475,7 +475,7 @@ def thin_groups(spark, d):
 
 @query("qa_date_gaps", f"WITH {S.BARS}, k AS (SELECT date, date - lag(date) OVER (ORDER BY date) AS gap FROM (SELECT DISTINCT date FROM bars WHERE ticker < 5)) SELECT date, gap::INT AS gap FROM k WHERE gap > 5")
 def qa_date_gaps(spark, d):
-    return quality_checks.date_gaps(P.bars(spark, d).filter("ticker < 5"))
+    return quality_checks.date_gaps(P.bars(spark, d))
 
 
 @query("qa_panel_report", "SELECT * FROM (VALUES ('unique_keys', 'PASS', '0'), ('required_columns', 'PASS', ''), ('range_alpha_27_rank', 'PASS', '0'), ('finite_alpha_27_rank', 'PASS', '0'), ('finite_alpha_27_z', 'PASS', '0')) t(\"check\", status, detail)")

@@ -205,5 +205,12 @@ def test_queries_equal_sql(spark, name):
     assert text(got) == text(want[cols].astype(object).itertuples(index=False, name=None))
 
 
+def test_date_gaps_are_those_of_all_tickers(spark, tmp_path):
+    days = [(1, 1), (7, 4), (1, 9), (9, 20)]  # ticker, day: ticker 7 fills the gap of ticker 1, nobody that before ticker 9
+    rows = [(t, dt.datetime(2020, 1, day), 10.0, 2.0, k, 1, 1) for k, (t, day) in enumerate(days)]
+    spark.createDataFrame(rows, "l_suppkey long, l_shipdate timestamp, l_extendedprice double, l_quantity double, l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in QUERIES["qa_date_gaps"](spark, str(tmp_path)).collect()] == [(dt.date(2020, 1, 20), 11)]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
