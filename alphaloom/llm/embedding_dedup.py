@@ -7,12 +7,14 @@ the threshold, are enlarged: the connected component of kept edges takes the pla
 compared exactly in blocks, so links of a group of any size are counted without emitting its pairs. Equal vectors are
 one weighted point. As a saturated list holds its own group alone, the saturated points then search again as units:
 within the leaves of fresh hyperplane trees all pairs of different components are compared, and one link joins two
-components. An audit compares the links of a bounded, seeded sample of vectors with brute force; while recall is below
-the target, rounds go on with longer lists and other trees. Where the last round still misses it, all pairs of different
+components. An audit compares the links of a seeded sample of vectors, drawn until enough of them have links, with brute
+force; while the share of vectors with links that have all of them is below the target, rounds go on with longer lists
+and other trees. Where the last round still misses it, all pairs of different
 components are compared in blocks, which is exact and quadratic.
 
 Every cosine is taken in double precision. Bounds: in-lists are sampled to the list length within one round (other
-entries meet in later rounds, in the components and under the audit); `audit` vectors are sent to all tasks.
+entries meet in later rounds, in the components and under the audit); at most 15 times `audit` vectors are sampled, so
+where less than about one vector in four times `audit` has links the audit may meet none and then passes.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have no id link with nothing;
 vectors of different length are compared within their length only; rows that repeat a vec_id count as one vector
@@ -116,12 +118,12 @@ def _keep_nearest(edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k)
 
 
-def _refine(lists: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def _refine(lists: DataFrame, vectors: DataFrame, k: int, turn: int) -> DataFrame:
     """One round: all pairs around each vector that would enter a list."""
     worst = lists.groupBy("a").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).alias("worst"))
-    turned = Window.partitionBy("b", F.pmod("a", F.lit(64))).orderBy(F.xxhash64("b", "a"))
+    turned = Window.partitionBy("b", F.pmod("a", F.lit(64))).orderBy(F.xxhash64("b", "a", F.lit(turn)))
     few = lists.withColumn("at", F.row_number().over(turned)).filter(F.col("at") <= k)  # first in parts, so that a hub is cut early
-    again = Window.partitionBy("b").orderBy(F.xxhash64("b", "a"))
+    again = Window.partitionBy("b").orderBy(F.xxhash64("b", "a", F.lit(turn)))
     reverse = few.withColumn("at", F.row_number().over(again)).filter(F.col("at") <= k).select(F.col("b").alias("v"), F.col("a").alias("u"))
     around = lists.select(F.col("a").alias("v"), F.col("b").alias("u")).union(reverse).distinct()
     known = vectors.join(worst, vectors["vec_id"] == worst["a"], "left").select(F.col("vec_id").alias("u"), "vec", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
@@ -228,10 +230,26 @@ def _count_links(vectors: DataFrame, labels: DataFrame, weights: DataFrame | Non
     return rows.groupBy("component", "i", "j").applyInArrow(count, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
 
 
-def _audit(vectors: DataFrame, threshold: float, audit: int, total: int) -> list[tuple[int, int]]:
-    """True number of links of about `audit` seeded vectors, by brute force over all rows."""
-    share = int(min(1.0, audit / max(total, 1)) * (1 << 20)) + 1
-    sample = vectors.filter(F.pmod(F.xxhash64("vec_id", F.lit(99)), F.lit(1 << 20)) < share).limit(4 * audit).collect()
+def _audit(vectors: DataFrame, threshold: float, audit: int, total: int, linked: int = 64) -> list[tuple[int, int]]:
+    """True number of links of about `audit` seeded vectors, and of more until `linked` of them have links."""
+    out, low, size = [], 0, audit
+    while low < 1 << 20 and size <= 8 * audit and sum(n > 0 for _, n in out) < linked:
+        high = min(1 << 20, low + int(min(1.0, size / max(total, 1)) * (1 << 20)) + 1)
+        draw = F.pmod(F.xxhash64("vec_id", F.lit(99)), F.lit(1 << 20))
+        out += _true_links(vectors, vectors.filter((draw >= low) & (draw < high)), threshold)
+        low, size = high, 2 * size
+    return out
+
+
+def _recall(truth: dict[int, int], found: dict[int, int]) -> float:
+    """The share of vectors, among those with links, whose links are all found."""
+    whole = [found.get(v, 0) >= n for v, n in truth.items() if n]
+    return sum(whole) / len(whole) if whole else 1.0
+
+
+def _true_links(vectors: DataFrame, few: DataFrame, threshold: float) -> list[tuple[int, int]]:
+    """vec_id and true number of links of a few vectors, by brute force over all rows."""
+    sample = few.collect()
     by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for size in {len(r["vec"]) for r in sample}:
         own = [r for r in sample if len(r["vec"]) == size]
@@ -287,13 +305,11 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, k: int = 10,
 
     def passes(links: DataFrame) -> bool:
         found = {r["vec_id"]: r["n_links"] for r in links.filter(F.col("vec_id").isin(list(truth))).collect()} if truth else {}
-        recall = sum(min(found.get(v, 0), c) for v, c in truth.items()) / max(1, sum(truth.values()))
-        complete = sum(found.get(v, 0) >= c for v, c in truth.items()) / max(1, len(truth))
-        return min(recall if any(truth.values()) else 1.0, complete) >= target
+        return _recall(truth, found) >= target
 
     done = not total
     for n in range(1, rounds + 1 if total else 1):
-        fresh = tables.save(_refine(lists, vectors, k))
+        fresh = tables.save(_refine(lists, vectors, k, n))
         both = lists.select("a", "b", "sim", F.lit(False).alias("new")).union(fresh.select("a", "b", "sim", F.lit(True)))
         new = tables.save(_keep_nearest(both.groupBy("a", "b").agg(F.max("sim").alias("sim")), k))
         changed = new.join(lists, ["a", "b"], "left_anti").filter(F.col("sim") >= threshold - 0.1).count()

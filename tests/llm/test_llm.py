@@ -169,6 +169,20 @@ def test_embeddings_of_saturated_groups(spark, copies, exact, monkeypatch):
     assert all(got[i]["component_id"] == (0 if link[i].any() else i) for i in range(len(x)))
 
 
+def test_audit_of_embeddings_weighs_vectors_with_links(spark):
+    x = np.random.default_rng(6).standard_normal((2000, 16))
+    x[:400:2] = x[1:400:2]  # a fifth of the vectors, in pairs
+    vectors = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "vec_id long, vec binary")
+    truth = dict(embedding_dedup._audit(vectors, 0.95, 32, 2000))
+    assert sum(n > 0 for n in truth.values()) >= 64 and all(n == (v < 400) for v, n in truth.items())
+    pairs = {v: n for v, n in truth.items() if v < 400}
+    hub = {5000: 10**6}
+    assert embedding_dedup._recall(truth | hub, hub) < 0.02 and embedding_dedup._recall(truth | hub, pairs | hub) == 1
+    lists = spark.createDataFrame([(a, 0, 0.1) for a in range(1, 40)], "a long, b long, sim double")  # one hub
+    met = [{(r["a"], r["b"]) for r in embedding_dedup._refine(lists, vectors, 3, turn).collect()} for turn in (1, 2)]
+    assert met[0] != met[1]
+
+
 def test_packing(docs, rows, spark):
     got = packing.pack(docs).collect()
     whole = encoder().whole
