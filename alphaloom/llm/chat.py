@@ -152,11 +152,11 @@ REPLY = {"reply": {"type": "object", "required": ["prompt", "turn"], "additional
 
 
 def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Plain turns as calls and results: a user's turn calls `reply`, an assistant's turn is the result of the turn before."""
+    """Plain turns as calls and results: a user's turn calls `reply`, any other turn, also one without role, is the result of the turn before."""
     ident = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
     turn = F.col("turn").cast("long")
     calls = conversations.filter("role = 'user'").select(
         "conv_id", ident(turn).alias("call_id"), turn.alias("seq"), F.lit("reply").alias("name"), F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prompt"), turn.alias("turn"))).alias("arguments"), F.array(ident(turn - 2)).alias("depends_on")
     )
-    results = conversations.filter("role <> 'user'").select("conv_id", ident(turn - 1).alias("call_id"), turn.alias("seq"), F.col("text").alias("content"))
+    results = conversations.filter("NOT role <=> 'user'").select("conv_id", ident(turn - 1).alias("call_id"), turn.alias("seq"), F.col("text").alias("content"))
     return calls, results

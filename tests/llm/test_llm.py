@@ -334,6 +334,12 @@ def test_chat(spark):
     assert chat.link_calls(calls.limit(0), results.limit(0), schema).count() == 0
 
 
+def test_turns_without_role_are_results(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, None, "r"), (2, 5, None, "lost")], "conv_id long, turn int, role string, text string")
+    got = {(r["call_id"], r["result_turn"], r["status"]) for r in chat.link_calls(*chat.turns_as_calls(turns), chat.REPLY).collect()}
+    assert got == {("1:0", 1, "linked"), ("2:4", 5, "no_call")}
+
+
 def test_warc(spark):
     rng = random.Random(8)
     records = []
