@@ -2,7 +2,8 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Stages
 are written and read again between calls. doc_id is the key: rows that repeat it with equal text become one in exact
-dedup; before that they stay or go together. Rows without doc_id pass the near-duplicate stage.
+dedup; before that they stay or go together. Rows without doc_id are scored and rejected by a fingerprint of their text;
+they pass the near-duplicate stage.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ ORACLE_SQL = None
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rejected = toxicity.score_toxicity(docs, labels).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("no doc_id"), "text"))
+    scored = toxicity.score_toxicity(docs.withColumn("doc_id", key), labels)
+    rejected = scored.filter("predicted = 1").select(F.col("doc_id").alias("_key")).distinct()
+    return docs.withColumn("_key", key).join(rejected, "_key", "left_anti").select(docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -389,3 +389,15 @@ def test_pipeline_stages(spark, docs, rows, tmp_path):
     mixed = stage["mix_sources"](spark, once, str(tmp_path))
     assert mixed.columns == plain.columns and max(Counter(r["doc_id"] for r in mixed.collect()).values()) <= 3
     assert cp.run(spark, str(tmp_path)).count() > 0
+
+
+def test_toxic_rows_without_id_are_rejected(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = random.Random(4)
+    rows = [(i, f"{words(rng, 30)} {' '.join(toxicity.SEEDS[:4]) if i % 4 == 0 else ''}", "en", "a", 9) for i in range(120)]
+    rows += [(None, *rows[i][1:]) for i in range(12)] + [(None, None, "en", "a", 0)]
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = cp.reject_toxic(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), str(tmp_path)).collect()
+    assert {r["doc_id"] for r in kept} - {None} == {i for i in range(120) if i % 4}
+    assert Counter(r["text"] for r in kept if r["doc_id"] is None) == Counter([t for i, t, *_ in rows[:12] if i % 4] + [None])
