@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The whitespace that separates words, in one character class, for Java and Python patterns alike.
@@ -15,21 +18,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the setting is absent."""
+    """The folder named by spark.checkpoint.dir; a temporary one where the setting is absent and all runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 class SharedTables:
-    """Parquet tables in the shared folder; they cut lineage and outlive lost executors."""
+    """Parquet tables in the shared folder; they cut lineage, outlive lost executors and go when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        atexit.register(self.release)
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.count}"
@@ -39,16 +45,48 @@ class SharedTables:
         out._shared_path = path
         return out
 
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later plan reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._shared_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(df._shared_path)
+
+    def release(self) -> None:
+        """Delete all tables: results that read them are no longer of use."""
+        with contextlib.suppress(Exception):  # at the driver's end the gateway may be gone, and the folder with it
+            self._delete(self.root)
+
 
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], by: str, how: str = "inner", least: int = 4096) -> DataFrame:
+    """big joined with small (unique keys): keys that hold many rows of big are dealt over many tasks by a hash of `by`.
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keep Arrow batches of whole texts small, as texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    big is a saved table. A key is hot beyond a 2000th of its rows, so at most 2000 hot keys are broadcast. Null keys match nothing.
+    """
+    limit = max(least, big.count() // 2000)
+    hot = F.broadcast(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_salts")))
+    dealt = big.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    copies = small.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def placed_in_key(rows: DataFrame, keys: list[str], order: list[str], tables: SharedTables) -> DataFrame:
+    """rows with `nth`, the place from 0 within their key by `order`; a key of any size is spread over many tasks.
+
+    The rows are dealt by ranges of (key, order) and numbered within each range. Only the key that a range begins in the
+    middle of has rows in earlier ranges, so the table of starts has at most one row a range.
+    """
+    dealt = tables.save(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_part").alias("_at"), F.sum("_n").over(before).alias("_start")).filter("_start > 0")
+    same = F.col("_part") == F.col("_at")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    own = Window.partitionBy(*keys, "_part").orderBy(*order)
+    numbered = dealt.withColumn("_own", F.row_number().over(own) - 1).join(F.broadcast(starts), same, "left")
+    return numbered.withColumn("nth", (F.col("_own") + F.coalesce("_start", F.lit(0))).cast("long")).select(*rows.columns, "nth")
 
 
 def bucket_of(id_col: Column, modulus: int) -> Column:
@@ -101,11 +139,11 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.concatenate([[0], upto]))
 
 
-def text_chunks(texts: list, limit: int = 1 << 20):
-    """Indices of consecutive texts holding about `limit` bytes together, with their UTF-8 bytes."""
+def text_chunks(texts, limit: int = 1 << 20):
+    """Indices of consecutive texts (an Arrow column) holding about `limit` bytes together, with their UTF-8 bytes."""
     first, held, size = 0, [], 0
     for i, t in enumerate(texts):
-        b = t.encode("utf-8", "surrogatepass") if isinstance(t, str) else (t or b"")
+        b = (t.as_py() or "").encode("utf-8", "surrogatepass")
         held.append(b)
         size += len(b)
         if size >= limit:

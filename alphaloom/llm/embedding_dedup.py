@@ -12,13 +12,14 @@ force; while the share of vectors with links that have all of them is below the
 and other trees. Where the last round still misses it, all pairs of different
 components are compared in blocks, which is exact and quadratic.
 
-Every cosine is taken in double precision. Bounds: in-lists are sampled to the list length within one round (other
+Distinct contents are the points of the graph, under keys of their own. Every cosine is taken in double precision. Bounds: in-lists are sampled to the list length within one round (other
 entries meet in later rounds, in the components and under the audit); at most 15 times `audit` vectors are sampled, so
 where less than about one vector in four times `audit` has links the audit may meet none and then passes.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have no id link with nothing;
-vectors of different length are compared within their length only; rows that repeat a vec_id count as one vector
-for each distinct content; an empty table gives an empty result; other columns are not read.
+vectors of different length are compared within their length only; every row is a vector of its own, so rows that repeat
+a vec_id, with the same or other content, link like any others; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -28,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SharedTables, mix64
-from .graph import components
+from .common import SharedTables, mix64, spread_join
+from .graph import components, smallest
 
 BLOCK = 512
-EXACT_BLOCK = 2048
+#: Largest block of vectors that are compared with each other; in stripes of BLOCK rows.
+EXACT_BLOCK = 4096
 
 
 def unit(raw: list[bytes]) -> np.ndarray:
@@ -43,32 +45,30 @@ def unit(raw: list[bytes]) -> np.ndarray:
 
 
 def _vectors(embeddings: DataFrame) -> DataFrame:
-    """vec_id and the components as bytes, for vectors that can link."""
+    """row, id and the components as bytes, null for vectors that cannot link."""
 
     def run(batches):
         for batch in batches:
-            ids, raw = [], []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if i is None or not v.is_valid or not len(v) or v.values.null_count:
-                    continue
-                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                if np.isfinite(x).all() and x.any():
-                    ids.append(i)
-                    raw.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], ["vec_id", "vec"])
+            raw = []
+            for i, v in zip(batch.column(1).to_pylist(), batch.column(2)):
+                good = i is not None and v.is_valid and len(v) and not v.values.null_count
+                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) if good else None
+                raw.append(x.tobytes() if good and np.isfinite(x).all() and x.any() else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], ["row", "id", "vec"])
 
-    return embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, vec binary").groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    rows = embeddings.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>"))
+    return rows.mapInArrow(run, "row long, id long, vec binary")
 
 
-def _equal_vectors(vectors: DataFrame, tables: SharedTables) -> DataFrame | None:
-    """vec_id, point (the smallest vec_id of an equal vector), weight, for all that have equals; none if there are none."""
-    hashed = vectors.withColumn("hash", F.xxhash64("vec"))
+def _equal_vectors(rows: DataFrame, tables: SharedTables) -> DataFrame | None:
+    """row, point (the first row of an equal vector), weight, for all rows that have equals; none if there are none."""
+    hashed = rows.filter("vec IS NOT NULL").select("row", "vec", F.xxhash64("vec").alias("hash"))
     often = tables.save(hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"))
     if often.isEmpty():
         return None
-    some = hashed.join(often, "hash", "left_semi")
-    points = tables.save(some.groupBy("hash", "vec").agg(F.min("vec_id").alias("point"), F.count(F.lit(1)).alias("weight")).filter("weight > 1"))
-    return tables.save(some.join(points, ["hash", "vec"]).select("vec_id", "point", "weight"))
+    some = tables.save(hashed.join(often, "hash", "left_semi"))
+    points = some.groupBy("hash", "vec").agg(F.min("row").alias("point"), F.count(F.lit(1)).alias("weight")).filter("weight > 1")
+    return tables.save(spread_join(some, points, ["hash", "vec"], "row").select("row", "point", "weight"))
 
 
 def _leaves(vectors: DataFrame, trees: int, bits: int, seed: int) -> DataFrame:
@@ -209,9 +209,15 @@ def _bridges(points: DataFrame, labels: DataFrame, threshold: float, trees: int,
 
 
 def _count_links(vectors: DataFrame, labels: DataFrame, weights: DataFrame | None, threshold: float, tables: SharedTables) -> DataFrame:
-    """vec_id, n_links: exact links to the rows of other points within each component, in blocks of bounded size."""
-    sizes = tables.save(labels.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks")))
-    rows = vectors.join(labels, vectors["vec_id"] == labels["node"]).join(sizes, "component")
+    """vec_id, n_links: exact links to the rows of other points within each component, in blocks of bounded size.
+
+    A component of n vectors is dealt into chunks of at least 512 and at most 4096, so a vector is sent n / 4096 times
+    at most in components of 260,000 and more.
+    """
+    chunk = F.greatest(F.lit(BLOCK), F.least(F.lit(EXACT_BLOCK), F.sqrt("n") * 8))
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select("component", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    named = tables.save(vectors.join(labels, vectors["vec_id"] == labels["node"]).drop("node"))
+    rows = spread_join(named, tables.save(sizes), ["component"], "vec_id")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     if weights is not None:
         rows = rows.join(weights, "vec_id", "left")
@@ -219,13 +225,17 @@ def _count_links(vectors: DataFrame, labels: DataFrame, weights: DataFrame | Non
     rows = rows.select("component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "vec_id", "vec", weight.cast("long").alias("weight"))
 
     def count(table: pa.Table) -> pa.Table:
-        ids, chunk = table["vec_id"].to_numpy(), table["chunk"].to_numpy()
-        x = unit(table["vec"].to_pylist())
-        linked = x @ x.T >= threshold
-        if table["i"][0] != table["j"][0]:
-            linked &= chunk[:, None] != chunk[None, :]
-        np.fill_diagonal(linked, False)
-        return pa.table([table["vec_id"], pa.array(linked @ table["weight"].to_numpy())], names=["vec_id", "n"])
+        chunk, weight = table["chunk"].to_numpy(), table["weight"].to_numpy()
+        x, whole = unit(table["vec"].to_pylist()), table["i"][0] == table["j"][0]
+        n = np.zeros(len(x), np.int64)
+        for at in range(0, len(x), BLOCK):
+            mine = np.arange(at, min(at + BLOCK, len(x)))
+            linked = x[mine] @ x.T >= threshold
+            if not whole:
+                linked &= chunk[mine][:, None] != chunk[None, :]
+            linked[np.arange(len(mine)), mine] = False
+            n[mine] = linked @ weight
+        return pa.table([table["vec_id"], pa.array(n)], names=["vec_id", "n"])
 
     return rows.groupBy("component", "i", "j").applyInArrow(count, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
 
@@ -277,15 +287,16 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, k: int = 10,
     """vec_id, n_links, component_id, kept: one row per input row."""
     spark = embeddings.sparkSession
     tables = SharedTables(spark, "descent")
-    vectors = tables.save(_vectors(embeddings))
+    rows = tables.save(_vectors(embeddings))
+    vectors = rows.filter("vec IS NOT NULL").select(F.col("row").alias("vec_id"), "vec")
     total = vectors.count()
     truth = dict(_audit(vectors, threshold, audit, total)) if total else {}
-    equal = _equal_vectors(vectors, tables)
+    equal = _equal_vectors(rows, tables)
     weights = None
     if equal is not None:
-        points = tables.save(vectors.join(equal.filter("vec_id <> point"), "vec_id", "left_anti"))
-        tables.drop(vectors)
-        vectors, total = points, points.count()
+        equal = equal.withColumnRenamed("row", "vec_id")
+        vectors = tables.save(vectors.join(equal.filter("vec_id <> point"), "vec_id", "left_anti"))
+        total = vectors.count()
         weights = equal.filter("vec_id = point").select("vec_id", "weight")
     bits = lambda n: max(1, int(np.ceil(np.log2(max(n, 2) / 64))))
     lists = tables.save(_keep_nearest(_first_lists(vectors, trees, bits(total), k, seed), k))
@@ -297,7 +308,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, k: int = 10,
         found = _count_links(vectors, labels, weights, threshold, tables)
         if equal is None:
             return tables.save(found)
-        own = equal.join(found.withColumnRenamed("vec_id", "point"), "point", "left").select("vec_id", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+        own = spread_join(equal, found.withColumnRenamed("vec_id", "point"), ["point"], "vec_id", "left").select("vec_id", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
         return tables.save(found.join(equal, "vec_id", "left_anti").unionByName(own))
 
     def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
@@ -341,9 +352,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, k: int = 10,
     if labels is None:
         labels, links = spark.createDataFrame([], "node long, component long"), spark.createDataFrame([], "vec_id long, n_links long")
     if equal is not None:
-        others = equal.filter("vec_id <> point").join(labels.withColumnRenamed("node", "point"), "point", "left").select(F.col("vec_id").alias("node"), F.coalesce("component", "point").alias("component"))
-        labels = tables.save(labels.unionByName(others))
-    ids = embeddings.select(F.col("vec_id").cast("long"))
-    out = ids.join(links, "vec_id", "left").join(labels.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+        others = spread_join(equal.filter("vec_id <> point"), labels.withColumnRenamed("node", "point"), ["point"], "vec_id", "left").select(F.col("vec_id").alias("node"), F.coalesce("component", "point").alias("component"))
+        alone = equal.filter("vec_id = point").select(F.col("vec_id").alias("node")).join(labels, "node", "left_anti").withColumn("component", F.col("node"))
+        labels = tables.save(labels.unionByName(others).unionByName(alone))
+    named = smallest(labels, rows.select(F.col("row").alias("node"), "id"), tables)
+    out = rows.select("row", "id").join(links.withColumnRenamed("vec_id", "row"), "row", "left").join(named.withColumnRenamed("node", "row"), "row", "left")
+    out = out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -14,10 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SharedTables
-
-#: Parts into which the rows of one key are dealt, so that a hot key meets many tasks.
-SALTS = 16
+from .common import SPACE, SharedTables, spread_join
 
 
 def normalised(text):
@@ -25,13 +22,17 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
-def _split(rows: DataFrame, keys: list[str], width: int, tables: SharedTables) -> DataFrame:
-    """One round. Rows get the group they are in after the next `width` bytes: `gid`, null where they are alone."""
-    digit = F.substring("rest", 1, width)
-    rows = rows.withColumn("digit", digit)
-    groups = rows.groupBy(*keys, "digit").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("new_gid")).filter("n > 1").drop("n")
-    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int"))
+def _split(rows: DataFrame, keys: list[str], width: int, total: int, tables: SharedTables) -> DataFrame:
+    """One round. Rows get the group they are in after the next `width` bytes: `gid`, null where they are alone.
+
+    Groups beyond a 2000th of all rows, at most 2000 of them, are broadcast, so that their rows are dealt over many tasks.
+    """
+    rows = rows.withColumn("digit", F.substring("rest", 1, width))
+    limit = max(4096, total // 2000)
+    groups = tables.save(rows.groupBy(*keys, "digit").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("new_gid")).filter("n > 1").withColumn("salts", F.ceil(F.col("n") / limit).cast("int")).drop("n"))
+    hot = F.broadcast(groups.filter("salts > 1").drop("new_gid"))
+    rows = rows.join(hot, [*keys, "digit"], "left").withColumn("salt", F.pmod(F.xxhash64("uid"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     joined = rows.join(groups, [*keys, "digit", "salt"], "left")
     ended = F.octet_length("digit") < width
     return tables.save(
@@ -49,9 +50,9 @@ def exact_groups(docs: DataFrame, first_width: int = 64, factor: int = 8) -> Dat
     rows = docs.select("doc_id", normalised(F.col("text")).alias("norm")).select(
         F.monotonically_increasing_id().alias("uid"), "doc_id", F.sha2("norm", 256).alias("text_sha256"), F.encode("norm", "UTF-8").alias("rest")
     )
-    width, rounds, keys = first_width, [], []
+    width, rounds, keys, total = first_width, [], [], docs.count()
     while True:
-        done = _split(rows, keys, width, tables)
+        done = _split(rows, keys, width, total, tables)
         rounds.append(done)
         rows, keys, width = done.filter("active").drop("active"), ["gid"], width * factor
         if rows.isEmpty():
@@ -65,10 +66,10 @@ def exact_groups(docs: DataFrame, first_width: int = 64, factor: int = 8) -> Dat
             out = out.unionByName(p)
         return out.select("uid", "doc_id", "text_sha256", "gid")
 
-    members = union(met)
+    members = tables.save(union(met))
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "uid")
     heads = tables.save(members.groupBy("gid").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("group_size")))
-    grouped = members.join(heads, "gid").select(
+    grouped = spread_join(members, heads, ["gid"], "uid").select(
         "doc_id", F.col("head.doc_id").alias("keep_id"), "group_size", (F.col("head.uid") == F.col("uid")).alias("kept"), "text_sha256"
     )
     single = union(alone).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")

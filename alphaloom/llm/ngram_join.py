@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedTables, mix64, shingle_sets, small_batches, text_chunks
+from .common import SharedTables, mix64, shingle_sets, text_chunks
 from .graph import components
 
 TREES, DEPTH = 24, 6
@@ -61,7 +61,7 @@ def met(similarity: float, depth: int) -> float:
 
 def _describe(batches):
     for batch in batches:
-        for first, held in text_chunks(batch.column(1).to_pylist()):
+        for first, held in text_chunks(batch.column(1)):
             sets = shingle_sets(held)
             full = [i for i, s in enumerate(sets) if len(s)]
             sig = signatures([sets[i] for i in full]) if full else None
@@ -180,7 +180,6 @@ _EMPTY = pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(),
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.9995, block: int = 512) -> DataFrame:
     """doc_id, class_id (smallest doc_id reachable by links), n_links (other documents linked): one row per input row."""
     spark = docs.sparkSession
-    small_batches(spark)
     tables = SharedTables(spark, "forest")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     described = tables.save(texts.mapInArrow(_describe, "doc_id long, set_a long, set_b long, sig binary"))

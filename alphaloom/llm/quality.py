@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, small_batches, text_chunks
+from .common import bucket_of, text_chunks
 from .toxicity import fit_linear
 
 #: Byte classes whose shares of a line are features.
@@ -141,7 +141,6 @@ def field_scores(texts: list[bytes], model: dict[str, np.ndarray]) -> np.ndarray
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 5_000, folds: int = 3, held_out: int = 1) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per input row."""
     spark = docs.sparkSession
-    small_batches(spark)
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (bucket_of(F.col("doc_id"), folds) != held_out))
     known = known.groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
     share = min(1.0, sample / max(known.count(), 1))
@@ -149,7 +148,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 5_000, folds
 
     def features(batches):
         for batch in batches:
-            for first, held in text_chunks(batch.column(0).to_pylist()):
+            for first, held in text_chunks(batch.column(0)):
                 x, length, counts = line_features(held)
                 ends = np.cumsum(counts)
                 part = [slice(e - c, e) for e, c in zip(ends, counts)]
@@ -169,7 +168,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 5_000, folds
 
     def run(batches):
         for batch in batches:
-            for first, held in text_chunks(batch.column(2).to_pylist()):
+            for first, held in text_chunks(batch.column(2)):
                 s = field_scores(held, model) if model else np.full(len(held), 0.5)
                 own = batch.slice(first, len(held))
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])

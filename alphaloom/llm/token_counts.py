@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 LEAF = 64
 #: A piece begins at a space that follows a non-blank or precedes one.
@@ -140,7 +139,6 @@ def recount(docs: DataFrame, edits: DataFrame | None = None, tokenizer: str = "b
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "n_tokens", "n_edits", "n_skipped", "n_tokens_after", "encoded_again"])
 
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if edits is not None:
         own = edits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "new")).alias("edits"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedTables, bucket_of, small_batches
+from .common import SharedTables, bucket_of
 
 #: Seed lexicon: fixed values.
 SEEDS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -194,7 +194,6 @@ def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000, terms: int = 300, folds: int = 5, held_out: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per input row."""
     spark = docs.sparkSession
-    small_batches(spark)
     tables = SharedTables(spark, "toxicity")
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (bucket_of(F.col("doc_id"), folds) != held_out))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
