@@ -5,8 +5,13 @@ p = r - floor(r). Which documents get the extra copy is drawn by the cube method
 probabilities move along the direction that keeps both the expected number of documents and the expected words,
 until one of them is 0 or 1. A block of any size ends with at most two documents undecided; those of all blocks of a
 source form the next, far smaller round, together with a few undrawn ones, until one block per source is left, where
-the landing rounds the last ones, and exchanges single documents, so that the source's words come nearest to its target. Blocks have bounded size and the draws follow from document
-ids, so a source with a third of all rows takes many tasks and reruns agree.
+the landing rounds the last ones, and exchanges single documents, so that the source's words come nearest to its target.
+
+Blocks have bounded size, so a source with a third of all rows takes many tasks. Draws follow from a document's id,
+source and text, and from its place among rows equal in all three; so reruns agree whatever the partitioning, rows
+without doc_id and repeated ones are drawn each, and a group of equal rows is dealt over all blocks.
+
+Bound: one row per source meets the driver (name, size, target), as mixtures have few sources.
 
 Defined results: null text has size 0; null sources form one source, last; rows that repeat a document are drawn
 each; an empty table gives an empty result; sources without words have target 0; other columns are not read.
@@ -23,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, SharedTables
+from .common import WORD, SharedTables, placed_in_key
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 2000
@@ -105,12 +110,15 @@ def land(p: list[float], x: list[int], owed: float) -> list[float]:
     return q.astype(float).tolist()
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = 3, block: int = BLOCK, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies (1 for a document without words): one row per input row."""
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = 3, block: int = BLOCK, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies (1 for a document without words), `keep`: one row per input row."""
     spark = docs.sparkSession
     tables = SharedTables(spark, "mix")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = tables.save(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("draw")))
+    draw = F.xxhash64(F.lit(seed), "doc_id", F.coalesce("source", F.lit("")), "text")
+    sized = docs.select("doc_id", "source", *(F.col(k).alias(f"_keep_{k}") for k in keep), size.alias("size"), draw.alias("draw"), F.monotonically_increasing_id().alias("uid"))
+    rows = placed_in_key(tables.save(sized), ["draw"], ["size", "uid"], tables).withColumn("draw", F.xxhash64("draw", "nth")).drop("nth")
+    rows = tables.save(rows)
     by_source = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # one row a source
     docs_of = {r["source"]: r["n"] for r in by_source}
     plan = [
@@ -122,8 +130,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = 3, block: int = BLOCK, see
     extra = tables.save(_balanced(rows.filter("p > 0 AND size > 0").select("uid", "sid", "draw", "size", "p", "docs"), tables, block, seed))
     copies = F.col("whole") + F.coalesce("s", F.lit(0))
     return rows.join(extra.filter("s = 1").select("uid", "s"), "uid", "left").select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), F.when(F.col("size") == 0, 1).otherwise(copies).cast("int").alias("copies")
-    )
+        "doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), F.when(F.col("size") == 0, 1).otherwise(copies).cast("int").alias("copies"),
+        *(F.col(f"_keep_{k}").alias(k) for k in keep),
+    )
 
 
 def _balanced(rows: DataFrame, tables: SharedTables, block: int, seed: int) -> DataFrame:
@@ -131,7 +140,7 @@ def _balanced(rows: DataFrame, tables: SharedTables, block: int, seed: int) -> D
     schema = T.StructType.fromDDL("uid long, sid int, draw long, size long, p double, docs long, last boolean, s int")
 
     def fly(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["draw", "uid"], ignore_index=True)
+        pdf = pdf.sort_values(["draw", "size"], kind="stable", ignore_index=True)
         x, p = pdf["size"].tolist(), pdf["p"].tolist()
         rng = random.Random(f"{seed} {key}")
         if pdf["last"].iloc[0]:

@@ -6,8 +6,10 @@ leaves it touches, takes in neighbours until both borders keep their context, re
 updates the sums above. Counts after any number of edits equal those of encoding the edited text anew.
 
 Defined results: null text is empty and has no tokens; edits are in places of the old text, applied in order; an edit that
-begins before the former one ends, or outside the text, is skipped and counted; repeated rows are counted each; an empty
-table gives an empty result.
+begins before the former one ends, or outside the text, or has no start or end, is skipped and counted; a null new text
+is empty; edits of the same start and end are applied in the order of their new texts; repeated rows are counted each and
+take the same edits; edits without doc_id touch nothing; the edits of one document meet in one task, as its text does; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -99,6 +101,12 @@ def redactions(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), "<email>" if "@" in m[0] else "0") for m in REDACT.finditer(text)]
 
 
+def edits_of(own: list[dict]) -> list[tuple[int | None, int | None, str]]:
+    """Edits in order of their places; those without a place come first."""
+    whole = [(e["start"], e["end"], e["new"] or "") for e in own if e["start"] is not None and e["end"] is not None]
+    return [(None, None, "")] * (len(own) - len(whole)) + sorted(whole)
+
+
 def recount(docs: DataFrame, edits: DataFrame | None = None, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
     """doc_id, n_tokens, n_edits, n_skipped, n_tokens_after, encoded_again (characters): one row per input row.
 
@@ -124,12 +132,12 @@ def recount(docs: DataFrame, edits: DataFrame | None = None, tokenizer: str = "b
                 text = batch.column(1)[i].as_py() or ""
                 if len(counts) > CACHE:
                     counts.clear()
-                own = redactions(text) if redact else sorted((e["start"], e["end"], e["new"] or "") for e in batch.column(2)[i].as_py() or [])
+                own = redactions(text) if redact else edits_of(batch.column(2)[i].as_py() or [])
                 tree = TokenTree(text, counts.__getitem__)
                 before, skipped, moved, upto = tree.total, 0, 0, 0
                 tree.encoded = 0
                 for start, end, new in own:
-                    if start < upto or end < start or end > len(text):
+                    if start is None or start < upto or end < start or end > len(text):
                         skipped += 1
                         continue
                     tree.edit(start + moved, end + moved, new)
@@ -141,6 +149,7 @@ def recount(docs: DataFrame, edits: DataFrame | None = None, tokenizer: str = "b
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if edits is not None:
-        own = edits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "new")).alias("edits"))
+        place = edits.select(F.col("doc_id").cast("long"), F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("new").cast("string").alias("new")).alias("edit"))
+        own = place.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_list("edit").alias("edits"))
         rows = rows.join(own, "doc_id", "left")
     return rows.mapInArrow(run, "doc_id long, n_tokens long, n_edits long, n_skipped long, n_tokens_after long, encoded_again long")
