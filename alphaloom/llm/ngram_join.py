@@ -1,37 +1,49 @@
 """N-gram Jaccard self-join by a MinHash LSH forest.
 
-A document is the set of its five-word shingles (64-bit fingerprints). Each tree of the forest orders documents by a
-sequence of min-hashes; documents that share a prefix of a given depth in some tree are candidates. Matching begins at
-the deepest prefixes; while the recall estimated from the pairs found (each counts one over the probability that
-its similarity is met at this depth) is below the target, all prefixes are shortened by one and only the candidates new
-at that depth are verified. Verification is exact on the shingle sets.
-
-Documents with equal shingle sets form a class and are joined as one. Candidates of a prefix are verified in blocks; a
-prefix shared by more than `block` classes is dealt into chunks and each pair of chunks is a task, so no task holds
-an unbounded group, no pair is emitted as a row, and none is lost. A pair that meets in several trees is counted in
-the first of them. Prefixes with the same members in several trees are verified once.
+A document is the set of its five-word shingles, as 64-bit fingerprints: "exact" below means exact on these. Documents
+with equal sets form a class and are joined as one. Each tree of the forest is a sorted trie: its labels, the min-hashes
+of a class in the tree's order, lie sorted in one table, so the classes below a node are neighbours there, and a node of
+any depth is a run of equal prefixes. Runs are counted where they lie; only runs of two or more, and those that a batch
+of rows cuts, are summed over the table.
+
+Matching begins at the deepest prefixes. Two figures decide whether all prefixes are shortened by one: the recall
+estimated from the similarities of all pairs found so far (each counts one over the probability that it is met at the
+present depth), and the recall measured on a seeded sample of documents that are compared with all others by brute
+force. Only candidates new at a depth are verified. At the last depth, one min-hash, a pair of similarity 0.8 is missed
+with probability 0.2 ** 24.
+
+Candidates of a node are verified in blocks; a node of more than `block` classes is dealt into chunks and each pair of
+chunks is a task, so no task holds an unbounded group, no pair is emitted as a row, and none is lost. A pair that
+meets in several trees is counted in the first of them. Nodes with the same members in several trees are verified once.
+Texts travel once, and only those that a fixed-size bitmap of the candidates lets pass.
+
+Bounds (parameters): the sample of `audit` documents, of texts of at most a million characters; the bitmap of 2 ** 24
+bits, beyond whose capacity more texts travel and none is lost.
 
 Defined results: a text of fewer than five words has one shingle of all its words; a text without words (null, empty)
-links with nothing and is its own class; repeated rows count as copies; rows without doc_id are left out of the join and
-get null class and no links; an empty table gives an empty result; other columns are not read.
+links with nothing and is its own class; rows that repeat a doc_id are documents of their own, with the same or other
+text; `kept` marks one row of each class, that of the smallest doc_id (of rows with that doc_id one of the text with
+the smallest fingerprint; all rows equal in both are marked); rows without doc_id are left out of the join and get null
+class, no links, and are kept; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedTables, mix64, shingle_sets, text_chunks
-from .graph import components
+from .common import SharedTables, mix64, shingle_sets, spread_join, text_chunks
+from .graph import components, smallest
 
 TREES, DEPTH = 24, 6
 _RNG = np.random.default_rng(7)
 _MUL = (_RNG.integers(1, 1 << 31, TREES * DEPTH, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
+#: Similarities are counted in this many steps from 0 to 1.
+STEPS = 200
+BITS = 1 << 24
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -45,45 +57,117 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def tree_keys(sig: np.ndarray, depth: int) -> np.ndarray:
-    """Hash of the first `depth` min-hashes in each tree: one row a document, one column a tree."""
-    sig = sig.reshape(len(sig), TREES, DEPTH)[:, :, :depth].astype(np.uint64)
-    key = np.full((len(sig), TREES), depth, np.uint64)
-    for k in range(depth):
-        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
-    return key.astype(np.int64)
+def shared_prefix(sig: np.ndarray, tree: int, depth: int) -> np.ndarray:
+    """For each pair of rows: do they share the prefix of that depth in that tree?"""
+    own = np.ascontiguousarray(sig.reshape(len(sig), TREES, DEPTH)[:, tree, :depth])
+    _, node = np.unique(own.view(f"V{4 * depth}").ravel(), return_inverse=True)
+    return node[:, None] == node[None, :]
 
 
-def met(similarity: float, depth: int) -> float:
+def met(similarity, depth: int):
     """Probability that a pair of that similarity shares a prefix of that depth in some tree."""
     return 1 - (1 - similarity**depth) ** TREES
 
 
-def _describe(batches):
+def estimated_recall(pairs: np.ndarray, depth: int) -> float:
+    """The share of all links that is found at a depth, from the number of pairs found in each step of similarity."""
+    if not pairs.sum():
+        return 1.0
+    return float(pairs.sum() / (pairs / met((np.arange(STEPS + 1)) / STEPS, depth).clip(1e-12)).sum())
+
+
+def _describe(sample: list[tuple[int, int, np.ndarray]], threshold: float):
+    """Digests of the shingle set, min-hashes, and the sampled documents that a text links to."""
+    owner = np.repeat(np.arange(len(sample)), [len(s) for _, _, s in sample])
+    known = np.concatenate([s for _, _, s in sample]) if sample else np.zeros(0, np.uint64)
+    order = np.argsort(known, kind="stable")
+    owner, known = owner[order], known[order]
+    sizes = np.array([len(s) for _, _, s in sample])
+
+    def linked(s: np.ndarray) -> list[int]:
+        low, high = np.searchsorted(known, s, "left"), np.searchsorted(known, s, "right")
+        on = high > low
+        if not on.any():
+            return []
+        low, high = low[on], high[on]
+        hits = owner[np.concatenate([np.arange(a, b) for a, b in zip(low.tolist(), high.tolist())])]
+        both = np.bincount(hits, minlength=len(sample))
+        return np.flatnonzero(both >= threshold * (sizes + len(s) - both) - 1e-9).tolist()
+
+    def run(batches):
+        for batch in batches:
+            for first, held in text_chunks(batch.column(1)):
+                sets = shingle_sets(held)
+                full = [i for i, s in enumerate(sets) if len(s)]
+                sig = signatures([sets[i] for i in full]) if full else None
+                cols: list[list] = [[None] * len(sets) for _ in range(4)]
+                for row, i in enumerate(full):
+                    s = sets[i]
+                    cols[0][i] = int(np.bitwise_xor.reduce(mix64(s)).astype(np.int64))
+                    cols[1][i] = int((mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64))
+                    cols[2][i] = sig[row].tobytes()
+                    cols[3][i] = linked(s) if sample else []
+                own = batch.slice(first, len(held))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.list_(pa.int32()))], ["doc_id", "print", "set_a", "set_b", "sig", "audited"])
+
+    return run
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as an Arrow column."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
+def _labels(batches):
+    """One label a tree: the number of the tree and its min-hashes, in bytes that sort as they do."""
     for batch in batches:
-        for first, held in text_chunks(batch.column(1)):
-            sets = shingle_sets(held)
-            full = [i for i, s in enumerate(sets) if len(s)]
-            sig = signatures([sets[i] for i in full]) if full else None
-            cols: list[list] = [[None] * len(sets) for _ in range(3)]
-            for row, i in enumerate(full):
-                s = sets[i]
-                cols[0][i] = int(np.bitwise_xor.reduce(mix64(s)).astype(np.int64))
-                cols[1][i] = int((mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64))
-                cols[2][i] = sig[row].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(held)), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["doc_id", "set_a", "set_b", "sig"])
-
-
-def _prefixes(depth: int):
+        for at in range(0, len(batch), 4096):
+            own = batch.slice(at, 4096)
+            sig = np.frombuffer(b"".join(own.column(1).to_pylist()), np.uint32).astype(">u4")
+            label = np.empty((len(own), TREES, 1 + 4 * DEPTH), np.uint8)
+            label[:, :, 0] = np.arange(TREES)
+            label[:, :, 1:] = sig.view(np.uint8).reshape(len(own), TREES, 4 * DEPTH)
+            yield pa.RecordBatch.from_arrays([_binary(label.reshape(-1, 1 + 4 * DEPTH)), pa.array(np.repeat(own.column(0).to_numpy(), TREES))], ["label", "rep"])
+
+
+def _runs(column: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefixes of sorted labels, and where each run of equal ones starts."""
+    rows = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)[:, : 1 + 4 * depth]
+    return rows, np.concatenate([[0], np.flatnonzero((rows[1:] != rows[:-1]).any(1)) + 1])
+
+
+def _nodes(depth: int):
+    """Runs of two or more classes, and those at the ends of a batch, with digests of their members."""
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows, starts = _runs(batch.column(0), depth)
+            n = np.diff(np.append(starts, len(rows)))
+            rep = batch.column(1).to_numpy().astype(np.uint64)
+            a, b = (np.bitwise_xor.reduceat(mix64(rep * np.uint64(2) + np.uint64(k)), starts).astype(np.int64) for k in (0, 1))
+            on = n > 1
+            on[[0, -1]] = True
+            yield pa.RecordBatch.from_arrays([_binary(rows[starts[on]]), *(pa.array(x[on]) for x in (n.astype(np.int64), a, b))], ["node", "n", "fa", "fb"])
+
+    return run
+
+
+def _members(depth: int):
+    """The classes of those runs."""
+
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(batch), -1)
-            key = tree_keys(sig, depth)
-            reps = np.repeat(batch.column(0).to_numpy(), TREES)
-            trees = np.tile(np.arange(TREES, dtype=np.int32), len(batch))
-            yield pa.RecordBatch.from_arrays([pa.array(trees), pa.array(key.ravel()), pa.array(reps)], ["tree", "key", "rep"])
+            rows, starts = _runs(batch.column(0), depth)
+            n = np.diff(np.append(starts, len(rows)))
+            on = n > 1
+            on[[0, -1]] = True
+            on = np.repeat(on, n)
+            yield pa.RecordBatch.from_arrays([_binary(rows[on]), batch.column(1).filter(pa.array(on))], ["node", "rep"])
 
     return run
 
@@ -97,9 +181,9 @@ def _ship(batches):
             own = blocks[i]
             n = len(own)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b["tree"] for b in own], pa.int32()), pa.array([b["key"] for b in own], pa.int64()), pa.array([b["i"] for b in own], pa.int32()), pa.array([b["j"] for b in own], pa.int32()), pa.array([b["chunk"] for b in own], pa.int32()),
+                [pa.array([b["node"] for b in own], pa.binary()), pa.array([b["i"] for b in own], pa.int32()), pa.array([b["j"] for b in own], pa.int32()), pa.array([b["chunk"] for b in own], pa.int32()),
                  pa.array([batch.column(0)[i].as_py()] * n, pa.int64()), pa.array([batch.column(3)[i].as_py()] * n, pa.int64()), pa.array([batch.column(4)[i].as_py()] * n, pa.binary()), pa.array([shingles.tobytes()] * n, pa.binary())],
-                ["tree", "key", "i", "j", "chunk", "rep", "copies", "sig", "shingles"],
+                ["node", "i", "j", "chunk", "rep", "copies", "sig", "shingles"],
             )
 
 
@@ -125,28 +209,24 @@ def _common(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
 
 
 def _verify(depth: int, above: int | None, threshold: float):
-    """Links of each class within a block: copies linked, pairs found and expected, and the root of its links."""
+    """Links of each class within a block: copies linked, the root of its links, and pairs by similarity in the first row."""
 
     def run(table: pa.Table) -> pa.Table:
-        tree = table["tree"][0].as_py()
-        table = table.take(np.unique(table["rep"].to_numpy(), return_index=True)[1])  # repeated rows of a doc_id
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        tree, i, j = table["node"][0].as_py()[0], table["i"][0].as_py(), table["j"][0].as_py()
         rep, copies, chunk = (table[c].to_numpy() for c in ("rep", "copies", "chunk"))
         sets = [np.frombuffer(b, np.uint64) for b in table["shingles"].to_pylist()]
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(len(rep), -1)
-        key = tree_keys(sig, depth)
         n = len(rep)
         ok = np.triu(np.ones((n, n), bool), 1)
         if i != j:
             ok &= chunk[:, None] != chunk[None, :]
-        for t in range(tree):
-            ok &= key[:, t][:, None] != key[:, t][None, :]
-        if above is not None:
-            deeper = tree_keys(sig, above)
-            for t in range(TREES):
-                ok &= deeper[:, t][:, None] != deeper[:, t][None, :]
         size = np.array([len(s) for s in sets])
         ok &= np.minimum.outer(size, size) >= threshold * np.maximum.outer(size, size) - 1e-9
+        for t in range(tree):  # the pair is counted in the first tree in which it meets
+            ok &= ~shared_prefix(sig, t, depth)
+        if above is not None:  # and at the first depth
+            for t in range(TREES):
+                ok &= ~shared_prefix(sig, t, above)
         if not ok.any():
             return _EMPTY
         inter = _common(sets)
@@ -154,8 +234,7 @@ def _verify(depth: int, above: int | None, threshold: float):
         a, b = np.nonzero(ok & (inter >= threshold * union - 1e-9))
         if len(a) == 0:
             return _EMPTY
-        s = inter[a, b] / union[a, b]
-        expected = 1 / (1 - (1 - s**depth) ** TREES)
+        steps = np.bincount((inter[a, b] * STEPS // union[a, b]).astype(int), minlength=STEPS + 1)
         links = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
         parent = np.arange(n)
         while True:  # labels fall to the smallest index of their component
@@ -167,67 +246,101 @@ def _verify(depth: int, above: int | None, threshold: float):
                 break
             parent = new
         on = np.flatnonzero(links > 0)
-        return pa.table([pa.array(rep[on]), pa.array(links[on].astype(np.int64)), pa.array(rep[parent[on]]), pa.array(np.bincount(a, None, n)[on].astype(float)), pa.array(np.bincount(a, expected, n)[on])], names=_LINKS)
+        return pa.table([pa.array(rep[on]), pa.array(links[on].astype(np.int64)), pa.array(rep[parent[on]]), pa.array([steps.tolist()] + [None] * (len(on) - 1), pa.list_(pa.int64()))], names=_LINKS)
 
     return run
 
 
-_LINKS = ["rep", "links", "root", "found", "expected"]
-_LINK_SCHEMA = "rep long, links long, root long, found double, expected double"
-_EMPTY = pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=_LINKS)
+_LINKS = ["rep", "links", "root", "steps"]
+_LINK_SCHEMA = "rep long, links long, root long, steps array<long>"
+_EMPTY = pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))], names=_LINKS)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.9995, block: int = 512) -> DataFrame:
-    """doc_id, class_id (smallest doc_id reachable by links), n_links (other documents linked): one row per input row."""
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.9995, block: int = 512, audit: int = 128, seed: int = 3) -> DataFrame:
+    """doc_id, class_id (smallest doc_id reachable by links), n_links (other documents linked), kept, print (of the text): one row per input row."""
     spark = docs.sparkSession
     tables = SharedTables(spark, "forest")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    described = tables.save(texts.mapInArrow(_describe, "doc_id long, set_a long, set_b long, sig binary"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("print", F.xxhash64("text"))
+    drawn = F.pmod(F.xxhash64("doc_id", "print", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, audit / max(docs.count(), 1)) * (1 << 30))
+    few = texts.filter(drawn & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= 1_000_000)).limit(4 * audit).collect()
+    sample = [(r["doc_id"], r["print"], s) for r in few if len(s := shingle_sets([r["text"].encode("utf-8", "surrogatepass")])[0])]
+    described = tables.save(texts.mapInArrow(_describe(sample, threshold), "doc_id long, print long, set_a long, set_b long, sig binary, audited array<int>"))
     shown = described.filter("doc_id IS NOT NULL AND sig IS NOT NULL")
-    classes = tables.save(shown.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    sig = shown.select("doc_id", "set_a", "set_b", "sig").join(classes, [shown["doc_id"] == classes["rep"], shown["set_a"] == classes["set_a"], shown["set_b"] == classes["set_b"]])
-    reps = tables.save(sig.groupBy("rep").agg(F.first("copies").alias("copies"), F.first("sig").alias("sig")))
+    audited = shown.select(F.explode("audited").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a sampled document
+    truth = {sample[r["k"]][:2]: r["n"] - 1 for r in audited}
+    head = F.min(F.struct("doc_id", "print", "sig")).alias("head")  # taken before the shuffle, so a group of equal sets is no hot key
+    classes = shown.groupBy("set_a", "set_b").agg(head, F.count(F.lit(1)).alias("copies"))
+    classes = tables.save(classes.select(F.monotonically_increasing_id().alias("rep"), "set_a", "set_b", "head.*", "copies"))
+    trie = tables.save(classes.select("rep", "sig").mapInArrow(_labels, "label binary, rep long").repartitionByRange("label").sortWithinPartitions("label"))
 
     found: list[DataFrame] = []
-    hits = expected = 0.0
+    pairs = np.zeros(STEPS + 1, np.int64)
     above = None
     for depth in range(DEPTH, 0, -1):
-        new = tables.save(_match(texts, reps, depth, above, threshold, block, tables))
+        new = tables.save(_match(texts, classes, trie, depth, above, threshold, block, tables))
         found.append(new)
-        seen = new.agg(F.sum("found"), F.sum("expected")).first()
-        hits, expected = hits + (seen[0] or 0.0), expected + (seen[1] or 0.0)
-        recall = 1.0 if not hits else min(1.0, hits / max(expected, hits))
-        if recall >= target and met(threshold, depth) >= 0.995:
+        for r in new.filter("steps IS NOT NULL").select(F.posexplode("steps").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():  # one row a step
+            pairs[r["at"]] += r["n"]
+        if estimated_recall(pairs, depth) >= target and met(threshold, depth) >= 0.995 and measured_recall(truth, classes, shown, found) >= target:
             break
-        above, expected = depth, hits
+        above = depth
     links = found[0]
     for f in found[1:]:
         links = links.unionByName(f)
     labels = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")), tables)
+    firsts = smallest(labels, classes.select(F.col("rep").alias("node"), F.struct("doc_id", "print").alias("id")), tables).withColumnRenamed("node", "rep")
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    of_class = classes.join(counts, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    of_class = classes.join(counts, "rep", "left").join(firsts, "rep", "left")
     of_class = tables.save(
-        of_class.select("set_a", "set_b", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    )
-    joined = described.withColumn("own", F.col("doc_id").isNotNull() & F.col("sig").isNotNull()).select("doc_id", F.when(F.col("own"), F.col("set_a")).alias("set_a"), "set_b")
-    return joined.join(of_class, ["set_a", "set_b"], "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        of_class.select("set_a", "set_b", F.coalesce("component_id.doc_id", "doc_id").alias("class_id"), F.coalesce("component_id.print", "print").alias("first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-
-
-def _match(texts: DataFrame, reps: DataFrame, depth: int, above: int | None, threshold: float, block: int, tables: SharedTables) -> DataFrame:
+    lone = "doc_id IS NULL OR sig IS NULL"
+    members = tables.save(shown.select("doc_id", "print", "set_a", "set_b"))
+    met_ = spread_join(members, of_class, ["set_a", "set_b"], "print").select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), ((F.col("doc_id") == F.col("class_id")) & (F.col("print") == F.col("first"))).alias("kept"), "print")
+    return met_.unionByName(described.filter(lone).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), "print"))
+
+
+def measured_recall(truth: dict[tuple[int, int], int], classes: DataFrame, shown: DataFrame, found: list[DataFrame]) -> float:
+    """The share of sampled documents with links for which all of them are found."""
+    wanted = {k: n for k, n in truth.items() if n}
+    if not wanted:
+        return 1.0
+    spark = classes.sparkSession
+    few = F.broadcast(spark.createDataFrame(list(wanted), "doc_id long, print long"))  # at most the sample
+    own = shown.join(few, ["doc_id", "print"]).select("doc_id", "print", "set_a", "set_b").distinct()
+    own = classes.select("rep", "set_a", "set_b", "copies").join(F.broadcast(own), ["set_a", "set_b"])
+    got = {(r["doc_id"], r["print"]): [r["rep"], r["copies"] - 1] for r in own.collect()}
+    reps = {r for r, _ in got.values()}
+    links: dict[int, int] = {}
+    for f in found:
+        for r in f.filter(F.col("rep").isin(list(reps))).groupBy("rep").agg(F.sum("links").alias("n")).collect():
+            links[r["rep"]] = links.get(r["rep"], 0) + r["n"]
+    return sum(got[k][1] + links.get(got[k][0], 0) >= n for k, n in wanted.items()) / len(wanted)
+
+
+def _candidates_only(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """texts without most of those that are no candidates: a bitmap of fixed size, as a table of at most 512 rows, is broadcast."""
+    spot = F.pmod(F.xxhash64("doc_id", "print"), F.lit(BITS))
+    bits = places.select(spot.alias("spot")).groupBy(F.expr("bitmap_bucket_number(spot + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(spot + 1))").alias("bits"))
+    held = texts.withColumn("spot", spot).join(F.broadcast(bits), F.expr("bitmap_bucket_number(spot + 1)") == F.col("bucket"))
+    byte = "cast(conv(hex(substring(bits, cast(bitmap_bit_position(spot + 1) div 8 as int) + 1, 1)), 16, 10) as int)"
+    return held.filter(F.expr(f"{byte} & shiftleft(1, cast(bitmap_bit_position(spot + 1) % 8 as int)) <> 0")).select(texts.columns)
+
+
+def _match(texts: DataFrame, classes: DataFrame, trie: DataFrame, depth: int, above: int | None, threshold: float, block: int, tables: SharedTables) -> DataFrame:
     """Verified links among classes that share a prefix of `depth` in some tree, and none of depth `above`."""
-    keys = reps.select("rep", "sig").mapInArrow(_prefixes(depth), "tree int, key long, rep long")
-    met_keys = keys.groupBy("tree", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(rep))").alias("fa"), F.expr("bit_xor(xxhash64(rep, 1))").alias("fb")
-    ).filter("n > 1")
-    once = tables.save(met_keys.groupBy("n", "fa", "fb").agg(F.min(F.struct("tree", "key")).alias("at")).select("at.tree", "at.key", "n"))
-    chunks = F.ceil(F.col("n") / block).cast("int")
-    members = keys.join(once, ["tree", "key"]).withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
+    runs = trie.select("label", "rep").mapInArrow(_nodes(depth), "node binary, n long, fa long, fb long")
+    nodes = runs.groupBy("node").agg(F.sum("n").alias("n"), F.bit_xor("fa").alias("fa"), F.bit_xor("fb").alias("fb")).filter("n > 1")
+    once = tables.save(nodes.groupBy("n", "fa", "fb").agg(F.min("node").alias("node")).select("node", F.ceil(F.col("n") / block).cast("int").alias("chunks")))
+    runs_of = tables.save(trie.select("label", "rep").mapInArrow(_members(depth), "node binary, rep long"))
+    members = spread_join(runs_of, once, ["node"], "rep").withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    spot = F.struct("tree", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk")
-    places = tables.save(members.groupBy("rep").agg(F.collect_list(spot).alias("blocks")))  # at most one prefix a tree
-    # One plan at every size: the texts meet their places by a sort-merge join, small places too.
-    full = texts.join(places.hint("merge"), texts["doc_id"] == places["rep"]).join(reps.hint("merge"), "rep").select("rep", "text", "blocks", "copies", "sig")
-    shipped = full.mapInArrow(_ship, "tree int, key long, i int, j int, chunk int, rep long, copies long, sig binary, shingles binary")
-    return shipped.groupBy("tree", "key", "i", "j").applyInArrow(_verify(depth, above, threshold), _LINK_SCHEMA)
+    spot = F.struct("node", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk")
+    blocks = members.groupBy("rep").agg(F.collect_list(spot).alias("blocks"))  # at most one node a tree
+    places = tables.save(blocks.join(classes.select("rep", "doc_id", "print", "copies", "sig"), "rep"))
+    tables.drop(runs_of)
+    # Rows equal in doc_id and text become one before the shuffle, so that they are no hot key.
+    once_each = _candidates_only(texts.filter("doc_id IS NOT NULL"), places).groupBy("doc_id", "print").agg(F.first("text").alias("text"))
+    full = once_each.join(places, ["doc_id", "print"]).select("rep", "text", "blocks", "copies", "sig")
+    shipped = full.mapInArrow(_ship, "node binary, i int, j int, chunk int, rep long, copies long, sig binary, shingles binary")
+    return shipped.groupBy("node", "i", "j").applyInArrow(_verify(depth, above, threshold), _LINK_SCHEMA)

@@ -62,17 +62,18 @@ FROM n WINDOW w AS (PARTITION BY t)
 
 OP9_SQL = r"""
 WITH t AS (SELECT conv_id, turn, role, text FROM conversations),
-c AS (SELECT conv_id, turn, concat_ws(':', conv_id, turn) AS call_id, coalesce(text, '') AS prompt FROM t WHERE role = 'user'),
-r AS (SELECT conv_id, turn, concat_ws(':', conv_id, turn - 1) AS call_id, text AS content,
-             turn IS NOT DISTINCT FROM min(turn) OVER (PARTITION BY conv_id, turn - 1) AS first FROM t WHERE role <> 'user'),
+c0 AS (SELECT conv_id, turn, concat_ws(':', conv_id, turn) AS call_id, '{"prompt":' || to_json(coalesce(text, ''))::VARCHAR || ',"turn":' || turn || '}' AS args, length(coalesce(text, '')) > 0 AND turn >= 0 AS valid FROM t WHERE role = 'user'),
+c AS (SELECT *, conv_id IS NOT NULL AND row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn NULLS LAST, args) = 1 AS first FROM c0),
+r0 AS (SELECT conv_id, turn, concat_ws(':', conv_id, turn - 1) AS call_id, text AS content FROM t WHERE role IS DISTINCT FROM 'user'),
+r AS (SELECT *, conv_id IS NOT NULL AND row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn NULLS LAST, content NULLS FIRST) = 1 AS first FROM r0),
 j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn AS call_turn, r.turn AS result_turn,
-             CASE WHEN c.conv_id IS NULL THEN 'no_call' WHEN r.conv_id IS NULL THEN 'no_result' ELSE 'linked' END AS status,
-             CASE WHEN c.conv_id IS NOT NULL THEN length(prompt) > 0 AND c.turn >= 0 END AS valid,
-             '{"arguments":' || CASE WHEN c.conv_id IS NULL THEN 'null' ELSE '{"prompt":' || to_json(prompt)::VARCHAR || ',"turn":' || c.turn || '}' END
-               || ',"id":' || to_json(coalesce(c.call_id, r.call_id))::VARCHAR || ',"name":' || CASE WHEN c.conv_id IS NULL THEN 'null' ELSE '"reply"' END
-               || ',"result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}' AS json
-      FROM c FULL JOIN (SELECT * FROM r WHERE first) r ON c.conv_id = r.conv_id AND c.call_id = r.call_id)
-SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(call_turn, result_turn), call_id, result_turn NULLS FIRST) - 1 AS position FROM j
+             CASE WHEN c.conv_id IS NULL THEN 'no_call' WHEN r.conv_id IS NULL THEN 'no_result' ELSE 'linked' END AS status, c.valid, c.args, r.content
+      FROM (SELECT * FROM c WHERE first) c FULL JOIN (SELECT * FROM r WHERE first) r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+      UNION ALL SELECT conv_id, call_id, turn, NULL, CASE WHEN conv_id IS NULL THEN 'no_result' ELSE 'duplicate_call' END, valid, args, NULL FROM c WHERE NOT first
+      UNION ALL SELECT conv_id, call_id, NULL, turn, CASE WHEN conv_id IS NULL THEN 'no_call' ELSE 'duplicate_result' END, NULL, NULL, content FROM r WHERE NOT first),
+k AS (SELECT conv_id, call_id, call_turn, result_turn, status, valid,
+             '{"arguments":' || coalesce(args, 'null') || ',"id":' || to_json(call_id)::VARCHAR || ',"name":' || CASE WHEN args IS NULL THEN 'null' ELSE '"reply"' END || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS json FROM j)
+SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(call_turn, result_turn), call_id, result_turn NULLS FIRST, status, json) - 1 AS position FROM k
 """
 
 OP10_SQL = r"""

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from alphaloom.llm import chat, embedding_dedup, exact_dedup, mixing, ngram_join, packing, quality, token_counts, toxicity, warc
@@ -99,6 +100,61 @@ def test_near_duplicates(docs, rows, spark, block):
         assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in odd} == {(None, None, 0), (1, 1, 1)}
 
 
+def test_near_duplicates_that_repeat_an_id(spark):
+    """Rows of one doc_id with other texts are documents of their own; of a class one text stays."""
+    rng = random.Random(8)
+    a, b = words(rng, 150), words(rng, 150)
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (3, b + " x"), (4, words(rng, 9)), (None, a)]
+    got = ngram_join.near_duplicates(spark.createDataFrame([(*r, 5, "y") for r in rows], "doc_id long, text string, rep int, node string")).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"], r["kept"]) for r in got) == {(1, 1, 1, True): 1, (1, 1, 2, True): 1, (2, 1, 1, False): 1, (3, 1, 2, False): 2, (4, 4, 0, True): 1, (None, None, 0, True): 1}
+
+
+def test_nodes_of_the_sorted_tries_are_shared_prefixes():
+    rng = np.random.default_rng(4)
+    sig = rng.integers(0, 3, (50, ngram_join.TREES * ngram_join.DEPTH)).astype(np.uint32)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary())], ["rep", "sig"])
+    (labels,) = ngram_join._labels([batch])
+    labels = pa.RecordBatch.from_arrays([c for c in labels.take(pa.array(sorted(range(len(labels)), key=lambda k: labels.column(0)[k].as_py()))).columns], ["label", "rep"])
+    for depth in (6, 2, 1):
+        want = defaultdict(set)
+        for rep in range(50):
+            for t in range(ngram_join.TREES):
+                want[t, *sig[rep].reshape(ngram_join.TREES, -1)[t, :depth].tolist()].add(rep)
+        got = defaultdict(set)
+        for part in ngram_join._members(depth)([labels.slice(0, 301), labels.slice(301)]):
+            for node, rep in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                got[node[0], *np.frombuffer(node[1:], ">u4").tolist()].add(rep)
+        assert all(got[k] == m for k, m in want.items() if len(m) > 1)
+        n = Counter()
+        for part in ngram_join._nodes(depth)([labels.slice(0, 301), labels.slice(301)]):
+            for node, k in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                n[node[0], *np.frombuffer(node[1:], ">u4").tolist()] += k
+        assert {k: v for k, v in n.items() if v > 1} == {k: len(m) for k, m in want.items() if len(m) > 1}
+        shared = ngram_join.shared_prefix(sig, 3, depth)
+        assert all(shared[i, j] == (sig[i].reshape(24, 6)[3, :depth] == sig[j].reshape(24, 6)[3, :depth]).all() for i in range(50) for j in range(50))
+
+
+def test_prefixes_are_shortened_until_the_recall_is_met(docs, rows, spark, monkeypatch):
+    """With few trees, links are missed at the deepest prefixes, and the audit or the estimate says so."""
+    depths = []
+    whole = ngram_join._match
+    monkeypatch.setattr(ngram_join, "_match", lambda *args: depths.append(args[3]) or whole(*args))
+    sets, links = brute_links(rows)
+    monkeypatch.setattr(ngram_join, "estimated_recall", lambda pairs, depth: 0.5 if depth > 4 else 1.0)
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.near_duplicates(docs).collect()}
+    assert depths == [6, 5, 4] and all(got[i] == len(links[i]) for i in sets)
+    pairs = np.zeros(ngram_join.STEPS + 1, int)
+    pairs[[160, 180, 200]] = 100, 50, 10
+    want = sum(n for n in (100, 50, 10)) / sum(n / (1 - (1 - s**6) ** 24) for n, s in ((100, 0.8), (50, 0.9), (10, 1.0)))
+    monkeypatch.undo()
+    assert ngram_join.estimated_recall(pairs, 6) == pytest.approx(want)
+    truth = {(1, 1): 3, (2, 2): 1, (3, 3): 0}
+    classes = spark.createDataFrame([(10, 1, 1, 2), (20, 2, 2, 1)], "rep long, set_a long, set_b long, copies long")
+    shown = spark.createDataFrame([(1, 1, 1, 1), (2, 2, 2, 2), (3, 3, 3, 3)], "doc_id long, print long, set_a long, set_b long")
+    found = spark.createDataFrame([(10, 1), (10, 1)], "rep long, links long")
+    assert ngram_join.measured_recall(truth, classes, shown, [found]) == 0.5
+
+
 def test_token_tree_equals_encoding_anew():
     enc, rng = encoder(), random.Random(5)
     count = lambda t: len(enc.plain.encode_ordinary(t))
