@@ -6,8 +6,9 @@ length-weighted mean of its lines' marginals. Only documents are labelled, so tr
 start as bad, a line classifier finds those that look like lines of good documents, then the field is trained on
 the labels so cleaned, and the last step calibrates the weighted mean against document labels.
 
-Bound (parameter): `sample` labelled training rows. Every document's whole text is scored. Rows of the held-out fold
-never lend their labels.
+Bounds (parameters): `sample` labelled training rows, of `sample_mb` of text in all (fewer rows are drawn where texts are
+long). Lines weigh by their length, in training as in scoring. Every document's whole text is scored. Rows of the
+held-out fold never lend their labels.
 
 Defined results: null text is empty, and an empty text is one empty line; repeated rows get equal scores; without
 labels every score is 0.5; an empty table gives an empty result; other columns are not read.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, text_chunks
+from .common import SharedTables, bucket_of, text_chunks
 from .toxicity import fit_linear
 
 #: Byte classes whose shares of a line are features.
@@ -99,7 +100,7 @@ def marginals(unary: np.ndarray, counts: np.ndarray, chain: np.ndarray) -> tuple
 def train_field(x: np.ndarray, length: np.ndarray, counts: np.ndarray, label: np.ndarray, steps: int = 120) -> dict[str, np.ndarray]:
     """Weights of lines and chain, and the calibration of the document's mean."""
     doc = np.repeat(np.arange(len(counts)), counts)
-    weight = np.minimum(length, 2000) + 1.0
+    weight = length + 1.0
     y = label[doc].astype(float)
     for _ in range(2):  # lines of bad documents that look good become good; the worst line stays bad
         balance = np.where(y > 0.5, 1 / max((y > 0.5).sum(), 1), 1 / max((y <= 0.5).sum(), 1))
@@ -138,13 +139,14 @@ def field_scores(texts: list[bytes], model: dict[str, np.ndarray]) -> np.ndarray
     return 1 / (1 + np.exp(-np.clip(a * mean + b * mean**8 + c, -30, 30)))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 5_000, folds: int = 3, held_out: int = 1) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 5_000, sample_mb: int = 64, folds: int = 3, held_out: int = 1) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per input row."""
-    spark = docs.sparkSession
+    tables = SharedTables(docs.sparkSession, "quality")
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (bucket_of(F.col("doc_id"), folds) != held_out))
     known = known.groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
     share = min(1.0, sample / max(known.count(), 1))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)  # about `sample` rows: a proven bound
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20))
+    chosen = known.filter(draw < int(share * (1 << 20)) + 1)  # about `sample` rows: a proven bound
 
     def features(batches):
         for batch in batches:
@@ -157,8 +159,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 5_000, folds
                 )
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "quality")
-    got = rows.dropDuplicates(["text"]).mapInArrow(features, "quality int, x binary, length binary").toPandas()
+    rows = tables.save(docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").dropDuplicates(["text"]))
+    held = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / (sample_mb << 20)
+    rows = rows.filter(draw < int(share * min(1.0, 1 / max(held, 1e-9)) * (1 << 20)) + 1)
+    got = rows.select("text", "quality").mapInArrow(features, "quality int, x binary, length binary").toPandas()
     model = None
     if got["quality"].nunique() == 2:
         got = got.sort_values(["x", "length"], ignore_index=True)  # reruns agree

@@ -1,18 +1,21 @@
 """Toxicity by weak supervision.
 
-Voters are a seed lexicon, lexicons mined from labelled training rows, and patterns. Each voter fires or not on a
+Voters are two seed lexicons, lexicons mined from labelled training rows, and patterns that look at no lexicon: shares of
+exclamation marks and of words in capitals, repeated address, masked or stretched words. Each voter fires or not on a
 document. A generative label model with one latent class estimates, from how often each combination of votes occurs
 over all documents, every voter's accuracy on both classes and the correlations of voters that fire together more than
-the class explains; with at most twelve voters its normaliser is summed exactly over all combinations. A linear classifier is
-then trained on the posterior labels of a bounded sample, with the words behind the voters as its features. Labels given
-for training rows choose the mined terms and fix the class of those rows in the label model; they are no targets.
+the class explains; with fifteen voters its normaliser is summed exactly over all combinations. A linear classifier is
+then trained on the posterior labels of bounded samples of labelled and of other documents, with the words behind the
+voters as its features. Labels given for training rows choose the mined terms and fix the class of those rows in the
+label model, where they say which class is which; they are no targets.
 
-Bounds (parameters): `sample` labelled training rows for mining and for the classifier, `terms` mined terms. Votes and
-their counts cover all documents. Rows of the held-out fold never lend their labels.
+Bounds (parameters): `sample` labelled training rows for mining, and as many rows each of labelled and of other documents
+for the classifier; `terms` mined terms. Votes and their counts cover all documents. Rows of the held-out fold never
+lend their labels.
 
 Defined results: null text is empty; an empty text gets the score of a text without hits; repeated rows get
 equal scores; without labels the seed lexicon alone votes; an empty table gives an empty result; other columns are
-not read.
+not read, but for those named in `keep`, which are handed on.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SharedTables, bucket_of
@@ -31,7 +34,12 @@ from .common import SharedTables, bucket_of
 SEEDS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 _TOKEN = re.compile(r"\w+")
 PREFIXES = range(3, 8)
-MINED_VOTERS = 7
+MINED_VOTERS = 9
+#: Patterns that look at one whole text: masked words, and words with one letter stretched.
+MASKED = re.compile(r"[^\W\d_][*#@$%]{2,}[^\W\d_]")
+STRETCHED = re.compile(r"([^\W\d_])\1{3,}")
+ADDRESS = frozenset(("you", "your", "youre", "yourself", "u", "ur"))
+PATTERNS = 4
 
 
 def terms_of(word: str) -> list[str]:
@@ -46,7 +54,7 @@ def _mine(sample: DataFrame, terms: int) -> list[str]:
         seen: Counter = Counter()
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                words = set(_TOKEN.findall((text.as_py() or "").lower()))
+                words = set(map(str.lower, _TOKEN.findall(text.as_py() or "")))
                 for t in {t for w in words for t in terms_of(w)}:
                     seen[t, toxic] += 1
                 seen["", toxic] += 1
@@ -65,8 +73,17 @@ def _mine(sample: DataFrame, terms: int) -> list[str]:
     return [r["term"] for r in best.orderBy(F.desc("score"), "term").limit(terms).collect()]
 
 
-def _hits(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """doc_id, words, ids and counts of the vocabulary's terms in each whole text, and the votes as bits."""
+def pattern_votes(raw: str, words: list[str]) -> list[bool]:
+    """Votes of the patterns on a text and its words: exclamations, capitals, address, masked or stretched words."""
+    upper = sum(w.isupper() and len(w) > 1 for w in words)
+    return [
+        raw.count("!") * 4 > len(words) > 0, upper * 3 > len(words) > 2, sum(w.lower() in ADDRESS for w in words) * 20 > len(words) > 0,
+        bool(MASKED.search(raw) or STRETCHED.search(raw)),
+    ]
+
+
+def _hits(docs: DataFrame, vocabulary: list[str], keep: tuple[str, ...]) -> DataFrame:
+    """doc_id, words, ids and counts of the vocabulary's terms in each whole text, the votes as bits, `keep`."""
     index = {t: k for k, t in enumerate(vocabulary)}
     voter = voters_of(vocabulary)
 
@@ -84,28 +101,28 @@ def _hits(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
             n, ids, counts, votes = [], [], [], []
             for text in batch.column(1):
                 raw = text.as_py() or ""
-                words = _TOKEN.findall(raw.lower())
+                words = _TOKEN.findall(raw)
                 seen: Counter = Counter()
-                for f in map(known.__getitem__, words):
+                for f in map(known.__getitem__, map(str.lower, words)):
                     if f:
                         seen.update(f)
                 n.append(len(words))
-                ids.append(list(seen))
-                counts.append(list(seen.values()))
+                ids.append(sorted(seen))
+                counts.append([seen[k] for k in ids[-1]])
                 bits = 0
                 for k in seen:
                     bits |= 1 << int(voter[k])
-                if sum(seen.values()) >= 8:
-                    bits |= 1 << (1 + MINED_VOTERS + 1)
-                if raw.count("!") * 4 > len(words) > 0:
-                    bits |= 1 << (1 + MINED_VOTERS + 2)
+                for k, vote in enumerate(pattern_votes(raw, words)):
+                    bits |= vote << (2 + MINED_VOTERS + k)
                 votes.append(bits)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(votes, pa.int32())], ["doc_id", "words", "ids", "counts", "votes"])
+            cols = [batch.column(0), pa.array(n, pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(votes, pa.int32()), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "words", "ids", "counts", "votes", *keep])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, "doc_id long, words int, ids array<int>, counts array<int>, votes int")
+    extra = "".join(f", {k} {docs.schema[k].dataType.simpleString()}" for k in keep)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep).mapInArrow(run, "doc_id long, words int, ids array<int>, counts array<int>, votes int" + extra)
 
 
-VOTERS = 1 + MINED_VOTERS + 3
+VOTERS = 2 + MINED_VOTERS + PATTERNS
 
 
 def voters_of(vocabulary: list[str]) -> np.ndarray:
@@ -117,14 +134,17 @@ class LabelModel:
     """p(votes, y) over all combinations: log-linear with class, voter-by-class and voter-pair terms."""
 
     def __init__(self, voters: int = VOTERS):
-        self.lam = (np.arange(1 << voters)[:, None] >> np.arange(voters)) & 1
-        self.edges: list[tuple[int, int]] = []
-        self.prior, self.fire, self.pair = 0.0, np.zeros((2, voters)), np.zeros(0)
+        self.lam = ((np.arange(1 << voters)[:, None] >> np.arange(voters)) & 1).astype(float)
+        self.prior, self.fire = 0.0, np.zeros((2, voters))
+        self.join([])
+
+    def join(self, edges: list[tuple[int, int]]) -> None:
+        """Pairs of voters that the model lets fire together."""
+        self.edges, self.pair = edges, np.zeros(len(edges))
+        self.both = self.lam[:, [a for a, _ in edges]] * self.lam[:, [b for _, b in edges]]
 
     def _log_joint(self) -> np.ndarray:
-        e = self.lam @ self.fire.T + np.array([0.0, self.prior])
-        for (a, b), j in zip(self.edges, self.pair):
-            e = e + (j * self.lam[:, a] * self.lam[:, b])[:, None]
+        e = self.lam @ self.fire.T + np.array([0.0, self.prior]) + (self.both @ self.pair)[:, None]
         return e - np.logaddexp.reduce(e.ravel())
 
     def posterior(self) -> np.ndarray:
@@ -145,8 +165,7 @@ class LabelModel:
             p, post = np.exp(self._log_joint()), self.posterior()
             seen = np.stack([counts[:, 0] * (1 - post) + counts[:, 1], counts[:, 0] * post + counts[:, 2]], 1) / total
             gap = seen - p
-            both = gap.sum(1)
-            g = np.concatenate([[gap[:, 1].sum()], (gap.T @ self.lam).ravel(), [both @ (self.lam[:, a] * self.lam[:, b]) for a, b in self.edges]])
+            g = np.concatenate([[gap[:, 1].sum()], (gap.T @ self.lam).ravel(), gap.sum(1) @ self.both])
             theta = np.concatenate([[self.prior], self.fire.ravel(), self.pair])
             g = g - 1e-4 * theta
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -171,8 +190,7 @@ class LabelModel:
         sd = np.sqrt(np.maximum(np.diag(excess), 1e-12))
         rho = excess / sd / sd[:, None]
         n = len(rho)
-        self.edges = [(a, b) for a in range(n) for b in range(a + 1, n) if abs(rho[a, b]) > 0.15]
-        self.pair = np.zeros(len(self.edges))
+        self.join([(a, b) for a in range(n) for b in range(a + 1, n) if abs(rho[a, b]) > 0.15])
         self._climb(counts, steps)
         return self
 
@@ -191,36 +209,36 @@ def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000, terms: int = 300, folds: int = 5, held_out: int = 0) -> DataFrame:
-    """doc_id, held_out, score, predicted: one row per input row."""
+def _below(share: float, *seed) -> Column:
+    """True for about that share of rows, by a hash of doc_id."""
+    return F.pmod(F.xxhash64("doc_id", *map(F.lit, seed)), F.lit(1 << 20)) < int(min(1.0, share) * (1 << 20)) + 1
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000, terms: int = 300, folds: int = 5, held_out: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted, `keep`: one row per input row."""
     spark = docs.sparkSession
     tables = SharedTables(spark, "toxicity")
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (bucket_of(F.col("doc_id"), folds) != held_out))
-    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    n = known.count()
-    share = min(1.0, sample / max(n, 1))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)  # about `sample` rows: a proven bound
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("digest", F.xxhash64("text"))
+    known = tables.save(known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
+    chosen = known.filter(_below(sample / max(known.count(), 1), 5))  # about `sample` rows: a proven bound
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = texts.join(F.broadcast(chosen), "doc_id").withColumn("digest", F.xxhash64("text"))
     vocabulary = [*SEEDS, *(t for t in _mine(rows, terms) if t not in SEEDS)]
-    hits = tables.save(_hits(docs, vocabulary))
+    hits = tables.save(_hits(docs, vocabulary, keep))
 
-    labelled = hits.join(known, "doc_id", "left")
+    fold = bucket_of(F.col("doc_id"), folds) == held_out
     counts = np.zeros((1 << VOTERS, 3))
-    for r in labelled.groupBy("votes", "toxic").agg(F.count(F.lit(1)).alias("n")).collect():  # at most 3 rows a combination
+    # Rows of a repeated label are joined before they are counted; at most 3 rows a combination come back.
+    for r in hits.join(known, "doc_id", "left").groupBy("votes", "toxic").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[r["votes"], 0 if r["toxic"] is None else 1 + r["toxic"]] += r["n"]
     if not counts.sum():
-        return hits.select("doc_id", F.lit(False).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return hits.select("doc_id", F.lit(False).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), *keep)
     posterior = LabelModel().fit(counts).posterior()
 
-    got = hits.join(F.broadcast(chosen), "doc_id").select("ids", "counts", "votes", F.xxhash64("ids", "counts", "words").alias("same")).toPandas()
-    if len(got) == 0:
-        got = hits.filter(F.rand(7) < sample / counts.sum()).select("ids", "counts", "votes", F.lit(0).alias("same")).toPandas()
-    x = np.zeros((len(got), len(vocabulary)), np.float32)
-    for i, (ids, cs) in enumerate(zip(got["ids"], got["counts"])):
-        x[i, ids] = np.log1p(cs)
-    y = posterior[got["votes"].to_numpy()]  # the posterior alone: given labels shape the label model, never the targets
-    weight = 1 / got.groupby("same")["same"].transform("size").to_numpy() if got["same"].any() else None
-    w = fit_linear(x, y, weight)
+    same = F.xxhash64("ids", "counts", "words").alias("same")
+    rest = hits.filter(F.col("doc_id").isNotNull()).join(known, "doc_id", "left_anti")  # documents without a label to learn
+    own = hits.join(F.broadcast(chosen), "doc_id").unionByName(rest.filter(_below(sample / counts.sum(), 6)), allowMissingColumns=True)
+    w = train_classifier(own.select("ids", "counts", "votes", same).toPandas(), posterior, len(vocabulary))
 
     def run(batches):
         for batch in batches:
@@ -229,7 +247,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000, ter
                 z = w[-1] + (float(w[ids] @ np.log1p(cs)) if ids else 0.0)
                 score.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
             s = np.array(score, float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), *batch.columns[4:]], ["doc_id", "held_out", "score", "predicted", *keep])
+
+    extra = "".join(f", {k} {docs.schema[k].dataType.simpleString()}" for k in keep)
+    return hits.select("doc_id", fold.alias("held_out"), "ids", "counts", *keep).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int" + extra)
+
 
-    folded = hits.select("doc_id", (bucket_of(F.col("doc_id"), folds) == held_out).alias("held_out"), "ids", "counts")
-    return folded.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+def train_classifier(got, posterior: np.ndarray, terms: int) -> np.ndarray:
+    """Weights of the terms and the intercept, from ids, counts and votes of sampled documents; equal ones weigh one together."""
+    got = got.sort_values(["same", "votes"], ignore_index=True)  # sums do not depend on the order of arrival
+    x = np.zeros((len(got), terms), np.float32)
+    for i, (ids, cs) in enumerate(zip(got["ids"], got["counts"])):
+        x[i, ids] = np.log1p(cs)
+    y = posterior[got["votes"].to_numpy()]  # the posterior alone: given labels shape the label model, never the targets
+    return fit_linear(x, y, 1 / got.groupby("same")["same"].transform("size").to_numpy())

@@ -404,6 +404,122 @@ def test_label_model_finds_accuracies_and_correlation():
     assert (((model.posterior()[votes]) > 0.5) == y).mean() > 0.93
 
 
+def test_label_model_by_enumeration():
+    """Posterior and gradient of a small model against sums over every combination and class."""
+    rng = np.random.default_rng(3)
+    model = toxicity.LabelModel(4)
+    model.join([(0, 2), (1, 3)])
+    model.prior, model.fire, model.pair = -0.7, rng.standard_normal((2, 4)), rng.standard_normal(2)
+
+    def weight(v, y):
+        return np.exp(y * model.prior + sum(model.fire[y][k] * v[k] for k in range(4)) + sum(j * v[a] * v[b] for (a, b), j in zip(model.edges, model.pair)))
+
+    every = [[m >> k & 1 for k in range(4)] for m in range(16)]
+    assert np.allclose(model.posterior(), [weight(v, 1) / (weight(v, 0) + weight(v, 1)) for v in every])
+    total = sum(weight(v, y) for v in every for y in (0, 1))
+    for y in (0, 1):
+        own = sum(weight(v, y) for v in every)
+        assert np.allclose(model.accuracies()[y], [sum(weight(v, y) * v[k] for v in every) / own for k in range(4)])
+    counts = rng.integers(0, 30, (16, 3)).astype(float)
+
+    def likelihood():
+        z = sum(weight(v, y) for v in every for y in (0, 1))
+        return sum(c[0] * np.log((weight(v, 0) + weight(v, 1)) / z) + c[1] * np.log(weight(v, 0) / z) + c[2] * np.log(weight(v, 1) / z) for v, c in zip(every, counts)) / counts.sum()
+
+    before = likelihood()
+    model._climb(counts, 200)
+    assert total > 0 and likelihood() > before
+    best = likelihood()
+    for part in (model.fire, model.pair):  # no small step improves a fitted model by much
+        for k in np.ndindex(part.shape):
+            for step in (-0.05, 0.05):
+                part[k] += step
+                assert likelihood() < best + 2e-3
+                part[k] -= step
+
+
+def test_toxicity_against_a_plain_version(spark):
+    """The whole operator again, in loops over texts in one process."""
+    docs, labels = labelled(spark)
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["doc_id"] is not None and r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    bad, good, sizes, seen = Counter(), Counter(), Counter(), set()
+    for i, t in rows:
+        if i in known and t not in seen:
+            seen.add(t)
+            sizes[known[i]] += 1
+            for term in {x for w in re.findall(r"\w+", t.lower()) for x in [w, *(w[:n] + "^" for n in range(3, 8) if len(w) >= n)]}:
+                (bad if known[i] else good)[term] += 1
+    odds = {t: np.log((n + 0.5) / (sizes[1] + 1)) - np.log((good[t] + 0.5) / (sizes[0] + 1)) for t, n in bad.items() if n >= 4}
+    mined = sorted((t for t in odds if odds[t] > 2), key=lambda t: (-odds[t] * np.sqrt(bad[t]), t))[:300]
+    vocabulary = [*toxicity.SEEDS, *(t for t in mined if t not in toxicity.SEEDS)]
+    x, votes = np.zeros((len(rows), len(vocabulary))), []
+    for k, (_, t) in enumerate(rows):
+        found = Counter(x for w in re.findall(r"\w+", t.lower()) for x in [w, *(w[:n] + "^" for n in range(3, 8) if len(w) >= n)])
+        fires = [False] * toxicity.VOTERS
+        for j, term in enumerate(vocabulary):
+            x[k, j] = np.log1p(found[term])
+            if found[term]:
+                fires[j % 2 if j < 10 else 2 + j % 9] = True
+        fires[11:] = toxicity.pattern_votes(t, re.findall(r"\w+", t))
+        votes.append(sum(f << j for j, f in enumerate(fires)))
+    counts = np.zeros((1 << toxicity.VOTERS, 3))
+    for (i, _), v in zip(rows, votes):
+        counts[v, 1 + known[i] if i in known else 0] += 1
+    posterior = toxicity.LabelModel().fit(counts).posterior()
+    alike = [(tuple(x[k]), len(re.findall(r"\w+", t))) for k, (_, t) in enumerate(rows)]
+    same = Counter(alike)
+    w = toxicity.fit_linear(x, posterior[votes], np.array([1 / same[a] for a in alike]))
+    want = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+    got = defaultdict(list)
+    for r in toxicity.score_toxicity(docs, labels).collect():
+        got[r["doc_id"]].append(r["score"])
+    assert all(got[i][0] == pytest.approx(p, abs=1e-4) for (i, _), p in zip(rows, want))
+
+
+def test_patterns_vote():
+    vote = lambda t: toxicity.pattern_votes(t, re.findall(r"\w+", t))
+    assert vote("") == [False] * 4 and vote("plain words, nothing else here") == [False] * 4
+    assert vote("no! no!") == [True, False, False, False] and vote("STOP IT NOW please") == [False, True, False, False]
+    assert vote("you and your friends") == [False, False, True, False] and vote("a b**d word") == vote("sooooo long") == [False, False, False, True]
+
+
+def test_quality_against_a_plain_version(spark):
+    """Scores of short documents from sums over every labelling of their lines."""
+    docs, labels = labelled(spark, n=120)
+    model = {"w": np.random.default_rng(1).standard_normal(quality.FEATURES + 1) * 0.4, "chain": np.array([[0.5, -0.2], [0.1, 0.3]]), "scale": np.array([2.0, 1.0, -1.0])}
+    texts = ["", "one", "A|B\n\nsame line\nsame line\nEnd! 12", "x\n" * 6]
+    got = quality.field_scores([t.encode() for t in texts], model)
+    for t, score in zip(texts, got):
+        lines = t.split("\n")
+        x, length, _ = quality.line_features([t.encode()])
+        u = x @ model["w"][:-1] + model["w"][-1]
+        total, good = 0.0, np.zeros(len(lines))
+        for m in range(1 << len(lines)):
+            y = [m >> k & 1 for k in range(len(lines))]
+            p = np.exp(sum(u[k] * y[k] for k in range(len(y))) + sum(model["chain"][a, b] for a, b in zip(y, y[1:])))
+            total, good = total + p, good + p * np.array(y)
+        mean = sum(g * (len(line) + 1) for g, line in zip(good / total, lines)) / sum(len(line) + 1 for line in lines)
+        assert score == pytest.approx(1 / (1 + np.exp(-(2 * mean + mean**8 - 1))))
+    rows = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] is not None and r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    own = sorted(((*quality.line_features([rows[i].encode()])[:2], q) for i, q in known.items()), key=lambda r: (r[0].tobytes(), r[1].astype(np.int32).tobytes()))
+    trained = quality.train_field(np.vstack([r[0] for r in own]), np.concatenate([r[1] for r in own]).astype(np.int32), np.array([len(r[1]) for r in own]), np.array([r[2] for r in own]))
+    want = dict(zip(rows, quality.field_scores([t.encode() for t in rows.values()], trained)))
+    assert all(r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-5) for r in quality.score_quality(docs, labels).collect())
+    few = quality.score_quality(docs, labels, sample_mb=1, sample=10**6).collect()
+    assert len(few) == docs.count()
+
+
+def test_line_features():
+    x, length, counts = quality.line_features([b"AB c1\n\nAB c1", b""])
+    own = quality.OWN
+    assert counts.tolist() == [3, 1] and length.tolist() == [5, 0, 5, 0]
+    assert x[0, :4].tolist() == pytest.approx([0.4, 0.2, 0.2, 0.2]) and x[1, len(quality.CLASSES) + 1] == 1
+    assert x[0, len(quality.CLASSES) + 2] == 1 and np.allclose(x[1, own : 2 * own], x[0, :own]) and np.allclose(x[1, 2 * own :], x[2, :own])
+    assert not x[0, own : 2 * own].any() and not x[2, 2 * own :].any() and not x[3, own:].any()
+
+
 def test_marginals_by_enumeration():
     rng = np.random.default_rng(1)
     counts, chain = np.array([3, 1, 5]), rng.standard_normal((2, 2))
