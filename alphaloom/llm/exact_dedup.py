@@ -22,7 +22,7 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
-def _split(rows: DataFrame, keys: list[str], width: int, total: int, tables: SharedTables) -> DataFrame:
+def _split(rows: DataFrame, keys: list[str], width: int, total: int, tables: SharedTables, keep: tuple[str, ...]) -> DataFrame:
     """One round. Rows get the group they are in after the next `width` bytes: `gid`, null where they are alone.
 
     Groups beyond a 2000th of all rows, at most 2000 of them, are broadcast, so that their rows are dealt over many tasks.
@@ -37,22 +37,23 @@ def _split(rows: DataFrame, keys: list[str], width: int, total: int, tables: Sha
     ended = F.octet_length("digit") < width
     return tables.save(
         joined.select(
-            "uid", "doc_id", "text_sha256", F.col("new_gid").alias("gid"),
+            "uid", "doc_id", "text_sha256", *keep, F.col("new_gid").alias("gid"),
             (F.col("new_gid").isNotNull() & ~ended).alias("active"),
             F.when(F.col("new_gid").isNotNull() & ~ended, F.expr(f"substring(rest, {width + 1})")).alias("rest"),
         )
     )
 
 
-def exact_groups(docs: DataFrame, first_width: int = 64, factor: int = 8) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per input row."""
+def exact_groups(docs: DataFrame, first_width: int = 64, factor: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, `keep`: one row per input row."""
     tables = SharedTables(docs.sparkSession, "exact")
-    rows = docs.select("doc_id", normalised(F.col("text")).alias("norm")).select(
-        F.monotonically_increasing_id().alias("uid"), "doc_id", F.sha2("norm", 256).alias("text_sha256"), F.encode("norm", "UTF-8").alias("rest")
+    own = [f"_keep_{k}" for k in keep]
+    rows = docs.select("doc_id", normalised(F.col("text")).alias("norm"), *(F.col(k).alias(c) for k, c in zip(keep, own))).select(
+        F.monotonically_increasing_id().alias("uid"), "doc_id", F.sha2("norm", 256).alias("text_sha256"), F.encode("norm", "UTF-8").alias("rest"), *own
     )
     width, rounds, keys, total = first_width, [], [], docs.count()
     while True:
-        done = _split(rows, keys, width, total, tables)
+        done = _split(rows, keys, width, total, tables, tuple(own))
         rounds.append(done)
         rows, keys, width = done.filter("active").drop("active"), ["gid"], width * factor
         if rows.isEmpty():
@@ -64,13 +65,13 @@ def exact_groups(docs: DataFrame, first_width: int = 64, factor: int = 8) -> Dat
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return out.select("uid", "doc_id", "text_sha256", "gid")
+        return out.select("uid", "doc_id", "text_sha256", *own, "gid")
 
     members = tables.save(union(met))
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "uid")
     heads = tables.save(members.groupBy("gid").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("group_size")))
     grouped = spread_join(members, heads, ["gid"], "uid").select(
-        "doc_id", F.col("head.doc_id").alias("keep_id"), "group_size", (F.col("head.uid") == F.col("uid")).alias("kept"), "text_sha256"
+        "doc_id", F.col("head.doc_id").alias("keep_id"), "group_size", (F.col("head.uid") == F.col("uid")).alias("kept"), "text_sha256", *own
     )
-    single = union(alone).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    return single.unionByName(grouped)
+    single = union(alone).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", *own)
+    return single.unionByName(grouped).withColumnsRenamed(dict(zip(own, keep)))

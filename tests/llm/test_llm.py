@@ -612,24 +612,85 @@ def test_warc(spark):
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
 
-def test_pipeline_stages(spark, docs, rows, tmp_path):
+def classes_of(pairs, n):
+    """Components of n rows by links."""
+    root = list(range(n))
+    for a, b in pairs:
+        a, b = root[a], root[b]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def test_pipeline_against_plain_versions(spark, docs, rows, tmp_path):
+    """Every stage on its own input, with repeated ids, rows without id and equal rows; then the whole run."""
     import corpus_pipeline as cp
 
+    rng = random.Random(5)
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    odd = [(3, "another text under a known id " * 3), (3, rows[3][1]), (3, rows[3][1]), (None, rows[5][1] + " tail"), (None, words(rng, 50)), (None, rows[8][1]), (None, rows[8][1])]
+    odd += [(None, "stupid idiot moron scum trash " + words(rng, 6))] * 2
+    plain = plain.unionByName(spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in odd], plain.schema)).cache()
+    toxic = [(500 + k, " ".join(rng.choice(["stupid", "idiot", "moron", "scum", *words(rng, 3).split()]) for _ in range(20)), "en", "b", 1) for k in range(40)]
+    plain = plain.unionByName(spark.createDataFrame(toxic, plain.schema))
+    labels = spark.createDataFrame([(i, 1, 0) for i, *_ in rows] + [(t[0], 1, 1) for t in toxic], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     plain.write.parquet(f"{tmp_path}/documents.parquet")
     stage = dict(cp.STAGES)
-    once = stage["exact_dedup"](spark, plain.unionByName(plain.filter("doc_id = 3")), str(tmp_path))
-    texts = [r["text"] for r in once.collect()]
-    norm = [re.sub(SPACES, " ", t or "") for t in texts]
-    assert once.columns == plain.columns and len(set(norm)) == len(norm) == len({re.sub(SPACES, " ", t or "") for _, t, *_ in rows})
-    near = stage["ngram_jaccard_join"](spark, once, str(tmp_path)).collect()
-    _, links = brute_links([(r["doc_id"], r["text"]) for r in near])
-    assert not any(links.values())
-    mixed = stage["mix_sources"](spark, once, str(tmp_path))
-    assert mixed.columns == plain.columns and max(Counter(r["doc_id"] for r in mixed.collect()).values()) <= 3
-    assert cp.run(spark, str(tmp_path)).count() > 0
+    taken = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    have = taken(plain)
+
+    clean = stage["toxicity"](spark, plain, str(tmp_path))
+    texts = {t for t in {r[1] for r in have} if sum(w in toxicity.SEEDS for w in re.findall(r"\w+", (t or "").lower())) >= 3}
+    assert clean.columns == plain.columns and taken(clean) == [r for r in have if r[1] not in texts] and len(texts) > 30
+    clean = clean.cache()
+    have = taken(clean)
+
+    once = stage["exact_dedup"](spark, clean, str(tmp_path)).cache()
+    groups = defaultdict(list)
+    for r in have:
+        groups[re.sub(SPACES, " ", r[1] or "")].append(r)
+    got = defaultdict(list)
+    for r in once.collect():
+        got[re.sub(SPACES, " ", r["text"] or "")].append(tuple(r))
+    assert once.columns == plain.columns and got.keys() == groups.keys() and all(len(g) == 1 and g[0] in groups[t] for t, g in got.items())
+    assert all(g[0][0] == min((r[0] for r in groups[t] if r[0] is not None), default=None) for t, g in got.items())
+
+    have = taken(once)
+    near = stage["ngram_jaccard_join"](spark, once, str(tmp_path)).cache()
+    _, links = brute_links([(k, r[1]) for k, r in enumerate(have)])
+    root = classes_of([(a, b) for a in links for b in links[a]], len(have))
+    left = Counter(root[have.index(r)] for r in taken(near))
+    assert near.columns == plain.columns and left == Counter(set(root))
+
+    have = taken(near)
+    mixed = stage["mix_sources"](spark, near, str(tmp_path)).cache()
+    copies = Counter(taken(mixed))
+    want = mixing.mix(near).collect()
+    assert mixed.columns == plain.columns and sum(copies.values()) == sum(r["copies"] for r in want) and max(copies.values()) <= 3
+    by_id = Counter()
+    for r in want:
+        by_id[r["doc_id"]] += r["copies"]
+    ids = Counter(r[0] for r in copies.elements())
+    assert ids == +by_id
+
+    packed = stage["best_fit_packing"](spark, mixed, str(tmp_path))
+    whole = encoder().whole
+    size = sum(len(whole.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in copies.elements())
+    assert sum(r["length"] for r in packed.collect()) == size
+    final = Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed.collect())
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in cp.run(spark, str(tmp_path)).collect()) == final
+
+
+def test_pipeline_stages_remove_equal_rows_and_take_empty_tables(spark, docs, tmp_path):
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    none = docs.select("doc_id", "text", "lang", "source", "n_chars").limit(0)
+    assert [f(spark, none, str(tmp_path)).count() for _, f in cp.STAGES] == [0] * 5
+    text = words(random.Random(2), 60)
+    same = spark.createDataFrame([(i, text + tail, "en", "a", 9) for i in (1, None) for tail in ("", "", " x")], none.schema)
+    assert [r["doc_id"] for r in cp.drop_near_copies(spark, same, str(tmp_path)).collect()] in ([1], [None])
+    assert Counter((r["doc_id"], r["text"]) for r in cp.drop_exact_copies(spark, same, str(tmp_path)).collect()) == {(1, text): 1, (1, text + " x"): 1}
 
 
 def test_toxic_rows_without_id_are_rejected(spark, tmp_path):
