@@ -1,8 +1,10 @@
 """WARC not-modified revisits: each revisit is resolved to the latest earlier full response for its canonical URL.
 
-The as-of join is a window over slim rows (no payloads) within (URL, part of the time range), with what each part
-inherits from the parts before it computed from one row per part; so a URL with a third of all captures takes as many
-tasks as there are parts. Validators are then compared, and the headers that a 304 answer may update are merged.
+The as-of join deals slim rows (no payloads) by ranges of (URL, time), cut where the rows are, and carries the last
+response forward by a window within (URL, range). Only the URL that a range begins in the middle of inherits a response
+from earlier ranges; what it inherits is computed from one row per range. So a URL with a third of all captures takes
+many tasks, however its times are spread. Validators are then compared, and the headers that a 304 answer may update are
+merged.
 
 Defined results: a response without payload is not full; revisits with a null URL or time have `no_original`; at equal
 times a response is not earlier than a revisit; among responses of one time the largest record_id counts; without
@@ -14,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARTS = 64
+from .common import SharedTables
+
 #: Headers that a not-modified answer may update (fixed values, of the HTTP standard).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that do not select content: fixed values.
@@ -46,19 +49,19 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     usable = F.col("canonical_url").isNotNull() & F.col("ts").isNotNull()
     full = slim.filter((F.col("kind") == "response") & F.col("payload_sha256").isNotNull() & usable)
     revisits = slim.filter(F.col("kind") == "revisit")
-    span = slim.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
-    low, width = span["low"] or 0, max(1, -(-((span["high"] or 0) - (span["low"] or 0) + 1) // PARTS))
-    part = F.floor((F.col("ts") - F.lit(low)) / width).cast("int")
     original = F.struct("ts", "record_id", "headers", "payload_sha256")
-    rows = full.select("canonical_url", part.alias("part"), "ts", F.lit(1).alias("side"), "record_id", original.alias("original"), F.lit(None).cast("map<string,string>").alias("own"))
-    rows = rows.unionByName(revisits.filter(usable).select("canonical_url", part.alias("part"), "ts", F.lit(0).alias("side"), "record_id", F.lit(None).cast(rows.schema["original"].dataType).alias("original"), F.col("headers").alias("own")))
+    rows = full.select("canonical_url", "ts", F.lit(1).alias("side"), "record_id", original.alias("original"), F.lit(None).cast("map<string,string>").alias("own"))
+    rows = rows.unionByName(revisits.filter(usable).select("canonical_url", "ts", F.lit(0).alias("side"), "record_id", F.lit(None).cast(rows.schema["original"].dataType).alias("original"), F.col("headers").alias("own")))
+    tables = SharedTables(records.sparkSession, "revisits")
+    rows = tables.save(rows)
+    rows = tables.save(rows.repartitionByRange("canonical_url", "ts", "side", "record_id").withColumn("part", F.spark_partition_id()))
     upto = Window.partitionBy("canonical_url", "part").orderBy("ts", "side", "record_id").rowsBetween(Window.unboundedPreceding, 0)
     near = rows.withColumn("near", F.last("original", ignorenulls=True).over(upto)).filter("side = 0").select("canonical_url", "part", "record_id", "near", "own")
-    # One row per (URL, part): the last response of the part, then of the parts before.
+    # One row per (URL, range): the last response of the range, then of the ranges before. At most one URL a range inherits.
     lasts = rows.groupBy("canonical_url", "part").agg(F.max_by("original", F.when(F.col("side") == 1, F.struct("ts", "record_id"))).alias("last"))
     before = Window.partitionBy("canonical_url").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = lasts.select("canonical_url", "part", F.last("last", ignorenulls=True).over(before).alias("carried"))
-    met = near.join(carried, ["canonical_url", "part"]).withColumn("original", F.coalesce("near", "carried"))
+    carried = lasts.select("canonical_url", "part", F.last("last", ignorenulls=True).over(before).alias("carried")).filter("carried IS NOT NULL")
+    met = near.join(F.broadcast(carried), ["canonical_url", "part"], "left").withColumn("original", F.coalesce("near", "carried"))
     lost = revisits.filter(~usable).select("canonical_url", "record_id", F.lit(None).cast(rows.schema["original"].dataType).alias("original"), F.col("headers").alias("own"))
     out = met.select("canonical_url", "record_id", "original", "own").unionByName(lost)
     theirs = F.col("original.headers")

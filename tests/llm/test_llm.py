@@ -590,6 +590,8 @@ def test_warc(spark):
         headers = {"etag": rng.choice(['"1"', 'W/"1"', '"2"']), "date": str(i)} if rng.random() < 0.8 else rng.choice([None, {"content-type": "t", "age": "3"}])
         records.append((i, url, rng.choice([None, *range(60)]), "response" if full else "revisit", headers, rng.choice(["s1", "s2", None]) if full else None, "extra"))
     df = spark.createDataFrame(records, "record_id long, url string, ts long, kind string, headers map<string,string>, payload_sha256 string, original string")
+    records.append((400, "a.org/x?utm_source=1", 10**12, "revisit", None, None, "extra"))  # one time far from all others
+    df = df.unionByName(spark.createDataFrame(records[-1:], df.schema))
     got = {r["record_id"]: r for r in warc.resolve_revisits(df.repartition(3)).collect()}
     canon = {"http://www.A.org/x/": "a.org/x", "https://a.org:443/x#f": "a.org/x", "a.org/x?utm_source=1": "a.org/x", "a.org/x?b=2&a=1": "a.org/x?a=1&b=2", "a.org/x?a=1&b=2&ref=z": "a.org/x?a=1&b=2", None: None}
     assert len(got) == sum(r[3] == "revisit" for r in records)
