@@ -473,7 +473,7 @@ def thin_groups(spark, d):
     return quality_checks.thin_groups(P.month_panel(spark, d), P.NAMES)
 
 
-@query("qa_date_gaps", f"WITH {S.BARS}, k AS (SELECT date, date - lag(date) OVER (ORDER BY date) AS gap FROM (SELECT DISTINCT date FROM bars WHERE ticker < 5)) SELECT date, gap::INT AS gap FROM k WHERE gap > 5")
+@query("qa_date_gaps", f"WITH {S.BARS}, k AS (SELECT date, date - lag(date) OVER (ORDER BY date) AS gap FROM (SELECT DISTINCT date FROM bars)) SELECT date, gap::INT AS gap FROM k WHERE gap > 5")
 def qa_date_gaps(spark, d):
     return quality_checks.date_gaps(P.bars(spark, d))
 
