@@ -89,6 +89,20 @@ def placed_in_key(rows: DataFrame, keys: list[str], order: list[str], tables: Sh
     return numbered.withColumn("nth", (F.col("_own") + F.coalesce("_start", F.lit(0))).cast("long")).select(*rows.columns, "nth")
 
 
+def maybe_among(rows: DataFrame, keys: list[str], members: DataFrame, bits: int = 24) -> DataFrame:
+    """rows with `_maybe`: false where the keys are surely not among those of members, true elsewhere.
+
+    A bitmap of 2 ** bits bits is broadcast, 2 MB by default, as a table of one row per 32,768 bits. Beyond its capacity more
+    rows are marked true; none of members' is ever marked false.
+    """
+    spot = F.pmod(F.xxhash64(*keys), F.lit(1 << bits)) + 1
+    table = members.select(spot.alias("_spot")).groupBy(F.expr("bitmap_bucket_number(_spot)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_spot))").alias("_bits"))
+    held = rows.withColumn("_spot", spot).join(F.broadcast(table), F.expr("bitmap_bucket_number(_spot)") == F.col("_bucket"), "left")
+    byte = "cast(conv(hex(substring(_bits, cast(bitmap_bit_position(_spot) div 8 as int) + 1, 1)), 16, 10) as int)"
+    bit = F.expr(f"{byte} & shiftleft(1, cast(bitmap_bit_position(_spot) % 8 as int)) <> 0")
+    return held.withColumn("_maybe", F.coalesce(bit, F.lit(False))).drop("_spot", "_bucket", "_bits")
+
+
 def bucket_of(id_col: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo `modulus`; null ids count as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SharedTables, spread_join
+from .common import SPACE, SharedTables, maybe_among, spread_join
 
 
 def normalised(text):
@@ -25,22 +25,25 @@ def normalised(text):
 def _split(rows: DataFrame, keys: list[str], width: int, total: int, tables: SharedTables, keep: tuple[str, ...]) -> DataFrame:
     """One round. Rows get the group they are in after the next `width` bytes: `gid`, null where they are alone.
 
-    Groups beyond a 2000th of all rows, at most 2000 of them, are broadcast, so that their rows are dealt over many tasks.
+    Groups beyond a 2000th of all rows, at most 2000 of them, are broadcast, so that their rows are dealt over many tasks. A
+    bitmap of the groups keeps rows that are surely alone out of the shuffle; a group is met by its bytes, never by a hash.
     """
     rows = rows.withColumn("digit", F.substring("rest", 1, width))
     limit = max(4096, total // 2000)
     groups = tables.save(rows.groupBy(*keys, "digit").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("new_gid")).filter("n > 1").withColumn("salts", F.ceil(F.col("n") / limit).cast("int")).drop("n"))
     hot = F.broadcast(groups.filter("salts > 1").drop("new_gid"))
-    rows = rows.join(hot, [*keys, "digit"], "left").withColumn("salt", F.pmod(F.xxhash64("uid"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    marked = maybe_among(rows, [*keys, "digit"], groups)
+    lone = marked.filter("NOT _maybe").select("uid", "doc_id", "text_sha256", *keep, F.lit(None).cast("long").alias("gid"), F.lit(False).alias("active"), F.lit(None).cast("binary").alias("rest"))
+    rows = marked.filter("_maybe").join(hot, [*keys, "digit"], "left").withColumn("salt", F.pmod(F.xxhash64("uid"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
     groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     joined = rows.join(groups, [*keys, "digit", "salt"], "left")
     ended = F.octet_length("digit") < width
     return tables.save(
-        joined.select(
+        lone.unionByName(joined.select(
             "uid", "doc_id", "text_sha256", *keep, F.col("new_gid").alias("gid"),
             (F.col("new_gid").isNotNull() & ~ended).alias("active"),
             F.when(F.col("new_gid").isNotNull() & ~ended, F.expr(f"substring(rest, {width + 1})")).alias("rest"),
-        )
+        ))
     )
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedTables, mix64, shingle_sets, spread_join, text_chunks
+from .common import SharedTables, maybe_among, mix64, shingle_sets, spread_join, text_chunks
 from .graph import components, smallest
 
 TREES, DEPTH = 24, 6
@@ -43,7 +43,6 @@ _MUL = (_RNG.integers(1, 1 << 31, TREES * DEPTH, dtype=np.uint32) << np.uint32(1
 _ADD = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
 #: Similarities are counted in this many steps from 0 to 1.
 STEPS = 200
-BITS = 1 << 24
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -318,15 +317,6 @@ def measured_recall(truth: dict[tuple[int, int], int], classes: DataFrame, shown
     return sum(got[k][1] + links.get(got[k][0], 0) >= n for k, n in wanted.items()) / len(wanted)
 
 
-def _candidates_only(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """texts without most of those that are no candidates: a bitmap of fixed size, as a table of at most 512 rows, is broadcast."""
-    spot = F.pmod(F.xxhash64("doc_id", "print"), F.lit(BITS))
-    bits = places.select(spot.alias("spot")).groupBy(F.expr("bitmap_bucket_number(spot + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(spot + 1))").alias("bits"))
-    held = texts.withColumn("spot", spot).join(F.broadcast(bits), F.expr("bitmap_bucket_number(spot + 1)") == F.col("bucket"))
-    byte = "cast(conv(hex(substring(bits, cast(bitmap_bit_position(spot + 1) div 8 as int) + 1, 1)), 16, 10) as int)"
-    return held.filter(F.expr(f"{byte} & shiftleft(1, cast(bitmap_bit_position(spot + 1) % 8 as int)) <> 0")).select(texts.columns)
-
-
 def _match(texts: DataFrame, classes: DataFrame, trie: DataFrame, depth: int, above: int | None, threshold: float, block: int, tables: SharedTables) -> DataFrame:
     """Verified links among classes that share a prefix of `depth` in some tree, and none of depth `above`."""
     runs = trie.select("label", "rep").mapInArrow(_nodes(depth), "node binary, n long, fa long, fb long")
@@ -340,7 +330,7 @@ def _match(texts: DataFrame, classes: DataFrame, trie: DataFrame, depth: int, ab
     places = tables.save(blocks.join(classes.select("rep", "doc_id", "print", "copies", "sig"), "rep"))
     tables.drop(runs_of)
     # Rows equal in doc_id and text become one before the shuffle, so that they are no hot key.
-    once_each = _candidates_only(texts.filter("doc_id IS NOT NULL"), places).groupBy("doc_id", "print").agg(F.first("text").alias("text"))
+    once_each = maybe_among(texts.filter("doc_id IS NOT NULL"), ["doc_id", "print"], places).filter("_maybe").groupBy("doc_id", "print").agg(F.first("text").alias("text"))
     full = once_each.join(places, ["doc_id", "print"]).select("rep", "text", "blocks", "copies", "sig")
     shipped = full.mapInArrow(_ship, "node binary, i int, j int, chunk int, rep long, copies long, sig binary, shingles binary")
     return shipped.groupBy("node", "i", "j").applyInArrow(_verify(depth, above, threshold), _LINK_SCHEMA)
