@@ -37,6 +37,7 @@ PREFIXES = range(3, 8)
 MINED_VOTERS = 9
 #: Patterns that look at one whole text: masked words, and words with one letter stretched.
 MASKED = re.compile(r"[^\W\d_][*#@$%]{2,}[^\W\d_]")
+MARKS, FOURFOLD = re.compile(r"[*#@$%]{2}"), re.compile(r"(.)\1\1\1")  # cheap to look for; most texts have neither
 STRETCHED = re.compile(r"([^\W\d_])\1{3,}")
 ADDRESS = frozenset(("you", "your", "youre", "yourself", "u", "ur"))
 PATTERNS = 4
@@ -73,13 +74,12 @@ def _mine(sample: DataFrame, terms: int) -> list[str]:
     return [r["term"] for r in best.orderBy(F.desc("score"), "term").limit(terms).collect()]
 
 
-def pattern_votes(raw: str, words: list[str]) -> list[bool]:
+def pattern_votes(raw: str, words: list[str], lower: list[str]) -> list[bool]:
     """Votes of the patterns on a text and its words: exclamations, capitals, address, masked or stretched words."""
-    upper = sum(w.isupper() and len(w) > 1 for w in words)
-    return [
-        raw.count("!") * 4 > len(words) > 0, upper * 3 > len(words) > 2, sum(w.lower() in ADDRESS for w in words) * 20 > len(words) > 0,
-        bool(MASKED.search(raw) or STRETCHED.search(raw)),
-    ]
+    n = len(words)
+    shouts = sum(map(str.isupper, words)) * 3 > n > 2 and sum(w.isupper() and len(w) > 1 for w in words) * 3 > n
+    odd = (MARKS.search(raw) and MASKED.search(raw)) or (FOURFOLD.search(raw) and STRETCHED.search(raw))
+    return [raw.count("!") * 4 > n > 0, shouts, sum(map(ADDRESS.__contains__, lower)) * 20 > n > 0, bool(odd)]
 
 
 def _hits(docs: DataFrame, vocabulary: list[str], keep: tuple[str, ...]) -> DataFrame:
@@ -103,7 +103,8 @@ def _hits(docs: DataFrame, vocabulary: list[str], keep: tuple[str, ...]) -> Data
                 raw = text.as_py() or ""
                 words = _TOKEN.findall(raw)
                 seen: Counter = Counter()
-                for f in map(known.__getitem__, map(str.lower, words)):
+                lower = list(map(str.lower, words))
+                for f in map(known.__getitem__, lower):
                     if f:
                         seen.update(f)
                 n.append(len(words))
@@ -112,7 +113,7 @@ def _hits(docs: DataFrame, vocabulary: list[str], keep: tuple[str, ...]) -> Data
                 bits = 0
                 for k in seen:
                     bits |= 1 << int(voter[k])
-                for k, vote in enumerate(pattern_votes(raw, words)):
+                for k, vote in enumerate(pattern_votes(raw, words, lower)):
                     bits |= vote << (2 + MINED_VOTERS + k)
                 votes.append(bits)
             cols = [batch.column(0), pa.array(n, pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(votes, pa.int32()), *batch.columns[2:]]

@@ -461,7 +461,7 @@ def test_toxicity_against_a_plain_version(spark):
             x[k, j] = np.log1p(found[term])
             if found[term]:
                 fires[j % 2 if j < 10 else 2 + j % 9] = True
-        fires[11:] = toxicity.pattern_votes(t, re.findall(r"\w+", t))
+        fires[11:] = toxicity.pattern_votes(t, re.findall(r"\w+", t), re.findall(r"\w+", t.lower()))
         votes.append(sum(f << j for j, f in enumerate(fires)))
     counts = np.zeros((1 << toxicity.VOTERS, 3))
     for (i, _), v in zip(rows, votes):
@@ -478,7 +478,7 @@ def test_toxicity_against_a_plain_version(spark):
 
 
 def test_patterns_vote():
-    vote = lambda t: toxicity.pattern_votes(t, re.findall(r"\w+", t))
+    vote = lambda t: toxicity.pattern_votes(t, re.findall(r"\w+", t), re.findall(r"\w+", t.lower()))
     assert vote("") == [False] * 4 and vote("plain words, nothing else here") == [False] * 4
     assert vote("no! no!") == [True, False, False, False] and vote("STOP IT NOW please") == [False, True, False, False]
     assert vote("you and your friends") == [False, False, True, False] and vote("a b**d word") == vote("sooooo long") == [False, False, False, True]
