@@ -1,14 +1,15 @@
-"""Average ranks; NULLs are ranked apart and stay NULL."""
+"""Average ranks; NULLs are ranked last, apart, and stay NULL. One sort serves rank, ties and count."""
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
 def _parts(x: Column, by: list[str]) -> tuple[Column, Column]:
-    w = Window.partitionBy(*by, x.isNull()).orderBy(x)
-    ties = Window.partitionBy(*by, x)
+    """(least rank + number of values up to x) / 2 is the average rank of ties."""
+    ordered = Window.partitionBy(*by).orderBy(x.asc_nulls_last())
+    upto = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     n = F.count(x).over(Window.partitionBy(*by))
-    return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0), n
+    return (F.rank().over(ordered) + F.count(x).over(upto)) / F.lit(2.0), n
 
 
 def average_rank(x: Column, by: list[str]) -> Column:

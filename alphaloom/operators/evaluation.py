@@ -52,9 +52,10 @@ def daily_ols(pairs: DataFrame, least: int = 50) -> DataFrame:
     return s.select(*DAY, "n", "intercept", "beta", "se", "t", "r2", "adj_r2", "residual_se")
 
 
-def newey_west(series: DataFrame, x: str, lags: int, by: str = "alpha") -> DataFrame:
+def newey_west(series: DataFrame, x: str, lags: int, by: str | list[str] = "alpha") -> DataFrame:
     """Mean, plain t and Bartlett-weighted t of a series by date; the plain t where the long-run variance is not positive."""
-    group, order = Window.partitionBy(by), Window.partitionBy(by).orderBy("date")
+    by = [by] if isinstance(by, str) else by
+    group, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("date")
     centred = series.filter(F.col(x).isNotNull()).withColumn("_c", F.col(x) - F.avg(x).over(group))
     centred = centred.withColumns({f"_g{k}": F.col("_c") * F.lag("_c", k).over(order) for k in range(1, lags + 1)})
     n = F.count(x)
@@ -62,9 +63,30 @@ def newey_west(series: DataFrame, x: str, lags: int, by: str = "alpha") -> DataF
     variance = F.sum(F.col("_c") * F.col("_c")) / n
     for k in range(1, lags + 1):
         variance = variance + 2 * (1 - k / (lags + 1)) * gamma(F.col(f"_g{k}"))
-    out = centred.groupBy(by).agg(n.alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), variance.alias("lrv"))
+    out = centred.groupBy(*by).agg(n.alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), variance.alias("lrv"))
     plain = div(F.col("mean"), F.col("sd") / F.sqrt("n"))
-    return out.select(by, "n", "mean", plain.alias("t_plain"), F.when(F.col("lrv") > 0, div(F.col("mean"), F.sqrt(F.col("lrv") / F.col("n")))).otherwise(plain).alias("t_nw"))
+    return out.select(*by, "n", "mean", plain.alias("t_plain"), F.when(F.col("lrv") > 0, div(F.col("mean"), F.sqrt(F.col("lrv") / F.col("n")))).otherwise(plain).alias("t_nw"))
+
+
+def daily_statistics(panel: DataFrame, alphas: list[str], target: str, binary: tuple[str, ...] = (), least: int = 20, edge: float = 0.1) -> DataFrame:
+    """alpha, date, n_rows, n, beta, ic, spread: all three statistics of a day from one exchange by (alpha, date).
+
+    Each is NULL below `least` complete pairs, or where one side is constant. Signals of `binary` have the spread of group 1
+    over group 0, the others that of the tails.
+    """
+    rows = panel.select("date", F.col(target).alias("target"), *alphas).unpivot(["date", "target"], list(alphas), "alpha", "value")
+    both = F.col("value").isNotNull() & F.col("target").isNotNull()
+    rows = rows.select(*DAY, F.when(both, F.col("value")).alias("value"), F.when(both, F.col("target")).alias("target"))
+    y, x = F.col("target"), F.col("value")
+    ranked = rows.withColumns({"_rv": average_rank(x, DAY), "_rt": average_rank(y, DAY), "_p": pct_rank(x, DAY)})
+    tail = lambda c: F.avg(F.when(c, y))
+    out = ranked.groupBy(*DAY).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(x).alias("n"), F.regr_sxx(y, x).alias("_sxx"), F.regr_sxy(y, x).alias("_sxy"), safe_corr(F.col("_rv"), F.col("_rt")).alias("ic"),
+        (tail(F.col("_p") >= 1 - edge) - tail(F.col("_p") <= edge)).alias("_tails"), (tail(x == 1.0) - tail(x == 0.0)).alias("_groups"),
+    )
+    enough = F.col("n") >= least
+    spread = F.when(F.col("alpha").isin(list(binary)), F.col("_groups")).otherwise(F.col("_tails")) if binary else F.col("_tails")
+    return out.select(*DAY, "n_rows", "n", F.when(enough & (F.col("_sxx") > 0), F.col("_sxy") / F.col("_sxx")).alias("beta"), F.when(enough, F.col("ic")).alias("ic"), F.when(enough, spread).alias("spread"))
 
 
 def fama_macbeth(pairs: DataFrame, lags: int = 5, least: int = 20) -> DataFrame:
@@ -93,12 +115,16 @@ def ndcg(df: DataFrame, prediction: str, grade: str = "grade", on: str = "date",
     return out.filter(F.col("n") >= least).select(on, "n", div(F.col("dcg"), F.col("ideal")).alias("ndcg"))
 
 
-def prediction_metrics(df: DataFrame, least: int = 50) -> DataFrame:
-    """Per date of (date, ticker, prediction, target): rank IC, Pearson IC, tails and spread."""
-    pairs = df.select("date", "ticker", F.lit("prediction").alias("alpha"), F.col("prediction").alias("value"), "target")
-    rank_ic = daily_rank_ic(pairs, least).select("date", F.col("ic").alias("rank_ic"))
-    pearson = pairs.groupBy("date").agg(safe_corr(F.col("value"), F.col("target")).alias("pearson_ic"))
-    return decile_spread(pairs, least).drop("alpha").join(rank_ic, "date", "left").join(pearson, "date", "left")
+def prediction_metrics(df: DataFrame, least: int = 50, edge: float = 0.1) -> DataFrame:
+    """Per date of (date, ticker, prediction, target): tails, spread, rank IC and Pearson IC, from one exchange by date."""
+    p, t, on = F.col("prediction"), F.col("target"), ["date"]
+    ranked = df.withColumns({"_rv": average_rank(p, on), "_rt": average_rank(t, on), "_p": pct_rank(p, on)})
+    tail = lambda c: F.avg(F.when(c, t))
+    out = ranked.groupBy("date").agg(
+        F.count(F.lit(1)).alias("n"), tail(F.col("_p") >= 1 - edge).alias("top"), tail(F.col("_p") <= edge).alias("bottom"),
+        safe_corr(F.col("_rv"), F.col("_rt")).alias("rank_ic"), safe_corr(p, t).alias("pearson_ic"),
+    ).filter(F.col("n") >= least)
+    return out.select("date", "n", "top", "bottom", (F.col("top") - F.col("bottom")).alias("spread"), "rank_ic", "pearson_ic")
 
 
 def r_squared(df: DataFrame) -> DataFrame:

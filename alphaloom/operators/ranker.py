@@ -10,6 +10,7 @@ Not bit-equal to any other trainer: gradients are scaled to a mean pair weight o
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
@@ -133,8 +134,11 @@ def block_ndcg(grade: np.ndarray, score: np.ndarray) -> float:
 def cut(df: DataFrame) -> DataFrame:
     """The rows written and read again, without their plan: worth it for what every trial reads."""
     sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:  # a cluster names its shared folder; only a session on one machine comes here
-        sc.setCheckpointDir(tempfile.mkdtemp())
+    if sc.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp())
     return df.checkpoint()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import average_rank
@@ -16,14 +16,30 @@ def significant(summary: DataFrame, t: str = "t_stat", least: float = 2.0) -> Da
     return summary.filter(F.abs(t) >= least)
 
 
-def pair_correlation(panel: DataFrame, alphas: list[str], keys: list[str], rank: bool = False, least: int = 50) -> DataFrame:
-    """a, b, n, corr over rows where both have values; ranks are taken within each pair, after its missing rows are gone."""
-    rows = panel.select(*keys, *alphas).unpivot(keys, alphas, "alpha", "value").filter(F.col("value").isNotNull())
-    left = rows.select(*keys, F.col("alpha").alias("a"), F.col("value").alias("x"))
-    pairs = left.join(rows.select(*keys, F.col("alpha").alias("b"), F.col("value").alias("y")), keys).filter("a < b")
+def pair_correlation(panel: DataFrame, alphas: list[str], keys: list[str], rank: bool = False, least: int = 50, buckets: int = 32) -> DataFrame:
+    """a, b, n, corr over rows where both have values; ranks are taken within each pair, after its missing rows are gone.
+
+    A row yields its pairs where it is, without a join. Plain correlations are partial aggregates. Ranks are taken in buckets
+    of each signal's values, cut at its approximate quantiles, and moved by the sizes of the buckets below; so a pair is
+    ranked by many tasks. Equal values lie in one bucket.
+    """
+    names = sorted(alphas)
+    value = lambda a: F.struct(F.lit(a).alias("k"), F.col(a).cast("double").alias("v"), (F.col(f"_b_{a}") if rank else F.lit(0)).alias("b"))
+    rows = panel.select(*names)
     if rank:
-        pairs = pairs.withColumns({"x": average_rank(F.col("x"), ["a", "b"]), "y": average_rank(F.col("y"), ["a", "b"])})
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), safe_corr(F.col("x"), F.col("y")).alias("corr")).filter(F.col("n") >= least)
+        cuts = [k / buckets for k in range(1, buckets)]
+        edges = rows.agg(*(F.percentile_approx(a, cuts, 1000).alias(a) for a in names)).first()  # `buckets` values a signal
+        place = lambda a: sum(((F.col(a) > float(e)).cast("int") for e in sorted(set(edges[a] or []))), F.lit(0))
+        rows = rows.withColumns({f"_b_{a}": place(a) for a in names})
+    pairs = F.array(*(F.struct(value(a).alias("l"), value(b).alias("r")) for i, a in enumerate(names) for b in names[i + 1 :])) if len(names) > 1 else F.array().cast("array<struct<l:struct<k:string,v:double,b:int>,r:struct<k:string,v:double,b:int>>>")
+    rows = rows.select(F.explode(pairs).alias("p")).filter("p.l.v IS NOT NULL AND p.r.v IS NOT NULL")
+    rows = rows.select(F.col("p.l.k").alias("a"), F.col("p.r.k").alias("b"), F.col("p.l.v").alias("x"), F.col("p.r.v").alias("y"), F.col("p.l.b").alias("bx"), F.col("p.r.b").alias("by"))
+    for c, bucket in (("x", "bx"), ("y", "by")) if rank else ():
+        own = ["a", "b", bucket]
+        below = Window.partitionBy("a", "b").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        sizes = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_n")).select(*own, F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"))  # `buckets` rows a pair
+        rows = rows.withColumn(c, average_rank(F.col(c), own)).join(sizes, own).withColumn(c, F.col(c) + F.col("_below")).drop("_below")
+    return rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), safe_corr(F.col("x"), F.col("y")).alias("corr")).filter(F.col("n") >= least)
 
 
 def greedy_clusters(strength: list[tuple[str, float]], corr: dict[tuple[str, str], float], limit: float = 0.8) -> list[tuple[str, str, int]]:
@@ -42,7 +58,7 @@ def greedy_clusters(strength: list[tuple[str, float]], corr: dict[tuple[str, str
 def redundancy_clusters(summary: DataFrame, pairs: DataFrame, limit: float = 0.8) -> DataFrame:
     """Greedy clusters of at most some dozens of signals, on the driver."""
     strength = [(r["alpha"], r["icir"] or 0.0) for r in summary.select("alpha", "icir").collect()]
-    corr = {(r["a"], r["b"]): r["corr"] for r in pairs.filter("corr IS NOT NULL").collect()}
+    corr = {(r["a"], r["b"]): r["corr"] for r in pairs.filter(F.abs("corr") >= limit).collect()}  # linked pairs of signals only
     rows = greedy_clusters(strength, corr, limit)
     return summary.sparkSession.createDataFrame(rows, "alpha string, head string, cluster int").withColumn("is_head", F.col("alpha") == F.col("head"))
 
@@ -88,6 +104,12 @@ def sign_agreement(table: DataFrame, a: str, b: str, by: list[str]) -> DataFrame
 # ---------------------------------------------------------------- regularised regression
 
 
+def imputed(panel: DataFrame, features: list[str], fold: str, train: int = 0) -> DataFrame:
+    """Missing features are replaced by their approximate median over the dates of the first fold, which every fit trains on."""
+    medians = panel.filter(F.col(fold) <= train).agg(*(F.percentile_approx(f, 0.5, 10_000).alias(f) for f in features)).first()  # one value a feature
+    return panel.fillna({f: float(medians[f]) for f in features if medians[f] is not None})
+
+
 def gram(panel: DataFrame, features: list[str], target: str, fold: str) -> dict[int, tuple[float, np.ndarray]]:
     """Cross products of (1, features, target) by fold, summed on the executors: rows of complete data only."""
     names = ["_one", *features, target]

@@ -375,8 +375,8 @@ def elastic_net(spark, d):
     panel = cross_section.transform(P.month_panel(spark, d), P.NAMES, "B", least=5)
     folds = splits.expanding_folds(panel, 3)
     names = [f"{a}_z" for a in P.NAMES]
-    got = selection.gram(panel.join(F.broadcast(folds), "date"), names, "fwd_cc_5d", "fold")
-    alpha, ratio, beta = selection.elastic_net_cv(got, np.logspace(-6, -2, 12), (0.2, 0.5, 0.8, 0.95))
+    rows = selection.imputed(panel.join(F.broadcast(folds), "date"), names, "fold")
+    alpha, ratio, beta = selection.elastic_net_cv(selection.gram(rows, names, "fwd_cc_5d", "fold"), np.logspace(-6, -2, 50), (0.2, 0.5, 0.8, 0.95))
     return spark.createDataFrame([(n, float(b), abs(float(b)) > 1e-12, float(alpha), ratio) for n, b in zip(names, beta)], "feature string, coef double, selected boolean, alpha double, l1_ratio double")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.nulls import log_ratio, number
 
 #: Share-class aliases: fixed values.
-ALIASES = {"BRK-B": "BRK.B", "BRK/B": "BRK.B", "BF-B": "BF.B", "BF/B": "BF.B"}
+ALIASES = {"BRK-B": "BRK.B", "BRK/B": "BRK.B", "BRK B": "BRK.B", "BF-B": "BF.B", "BF/B": "BF.B", "BF B": "BF.B"}
 
 
 def read_table(spark: SparkSession, path: str, recursive: bool = False, sep: str | None = None) -> DataFrame:
@@ -59,7 +59,9 @@ def ticker_from_file(spark_df: DataFrame, universe: DataFrame) -> DataFrame:
 
 
 def parse_timestamp(raw: Column) -> Column:
-    return F.coalesce(*(F.try_to_timestamp(raw, F.lit(f)) for f in ("MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm")))
+    """The four layouts of price files, then whatever Spark's own cast reads; NULL for the rest, which callers count."""
+    known = (F.try_to_timestamp(raw, F.lit(f)) for f in ("MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm"))
+    return F.coalesce(*known, F.try_to_timestamp(raw))
 
 
 def parse_date(raw: Column) -> Column:
@@ -88,7 +90,7 @@ def wide_to_long(df: DataFrame, key: str, name: str, value: str, scale: float =
 
 def factor_checks(factors: DataFrame, names: list[str]) -> DataFrame:
     """duplicates, and per factor missing and out-of-scale counts, in one aggregation."""
-    return factors.agg((F.count("date") - F.count_distinct("date")).alias("duplicates"), *(F.count_if(F.col(c).isNull()).alias(f"{c}_missing") for c in names), *(F.count_if(F.abs(c) >= 1).alias(f"{c}_scale") for c in names))
+    return factors.agg((F.count("date") - F.count_distinct("date")).alias("duplicates"), *(F.count_if(F.col(c).isNull()).alias(f"{c}_missing") for c in names), *(F.count_if(F.abs(c) >= 1).alias(f"{c}_scale") for c in names), *(F.count_if(F.abs(c) == float("inf")).alias(f"{c}_inf") for c in names))
 
 
 def best_date_column(df: DataFrame) -> str:
