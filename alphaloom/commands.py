@@ -20,6 +20,7 @@ from .functions.signals import add_signals, name, signal_columns
 from .operators import bars as B
 from .operators import cross_section, enrichment, evaluation, horizons, labels, quality_checks, ranker, selection, splits
 from .operators.asof import asof_backward
+from .operators.panel_joins import validate_minutes
 from .sources import tables
 
 KEYS = ["date", "ticker"]
@@ -70,14 +71,16 @@ def process_folder(spark: SparkSession, universe: str, input_dir: str, batch_id:
         ts = F.col("timestamp").cast("string") if "timestamp" in rows.columns else F.concat_ws(" ", F.col("date").cast("string"), F.col("time").cast("string"))
         minutes = rows.select("ticker", tables.parse_timestamp(ts).alias("ts"), *(number(F.col(c).cast("string")).alias(c) for c in B.OHLCV)).dropDuplicates()
         twice = minutes.groupBy("ticker", "ts").count().filter("count > 1").groupBy("ticker").agg(F.count(F.lit(1)).alias("conflicts"))
-        daily = B.minutes_to_daily(minutes)
+        daily = B.minutes_to_daily(minutes.filter("ts IS NOT NULL"))
+        faulty = validate_minutes(minutes).filter("NOT passed").select("ticker", F.to_json(F.struct("no_time", "inf", "missing", "high_logic", "low_logic", "price", "volume")).alias("minute_faults"))
     else:
         day = F.coalesce(F.col("date").try_cast("date"), tables.parse_date(F.col("date").cast("string")))
         daily = B.standardise_daily(rows.withColumn("date", day))
         twice = daily.select("ticker").limit(0).withColumn("conflicts", F.lit(0).cast("long"))
+        faulty = daily.select("ticker").limit(0).withColumn("minute_faults", F.lit(None).cast("string"))
     daily = ranker.cut(daily)  # read by the checks and by the signals
     verdict = B.validate_bars(daily, min_rows).join(twice, "ticker", "left").fillna(0, ["conflicts"])
-    verdict = verdict.withColumn("passed", F.col("passed") & (F.col("conflicts") == 0))
+    verdict = verdict.join(faulty, "ticker", "left").withColumn("passed", F.col("passed") & (F.col("conflicts") == 0) & F.col("minute_faults").isNull())
     verdict.filter("NOT passed").write.mode("overwrite").parquet(f"{output_dir}/{batch_id}_skipped.parquet")
     good = daily.join(verdict.filter("passed").select("ticker"), "ticker", "left_semi")
     if market_file:  # one row a date: bounded by the calendar
@@ -140,14 +143,23 @@ def _features(panel: DataFrame, suffix: str) -> list[str]:
     return [f"{a}{suffix}" for a in alpha_names(panel) if f"{a}{suffix}" in panel.columns]
 
 
-def validate_signals(spark: SparkSession, input: str, output_dir: str, short: str = "fwd_cc_5d", long: str = "fwd_cc_21d", suffix: str = "", least: int = 20, least_dates: int = 100) -> str:
-    """Betas, rank ICs and spreads by signal for two horizons, their stability and the leading stable signals."""
+def validate_signals(spark: SparkSession, input: str, output_dir: str, short: str = "fwd_cc_5d", long: str = "fwd_cc_21d", suffix: str = "", least: int = 20, least_dates: int = 100, controls: str = "") -> str:
+    """Betas, rank ICs and spreads by signal for two horizons, their stability and the leading stable signals.
+
+    `controls` names columns, by commas; then `controlled_betas.parquet` has the betas beside them.
+    """
     panel = spark.read.parquet(input)
     names = _features(panel, suffix)
     two = tuple(f"{name(k)}{suffix}" for k in (37, 38))
     both = [horizons.combined_summary(panel, names, t, lags, two if not suffix else (), least, least_dates) for t, lags in ((short, 5), (long, 21))]
     table = f"{output_dir}/single_signals.parquet"
     horizons.add_stability(*both).write.mode("overwrite").parquet(table)
+    if controls:
+        from .operators.evidence import daily_ols_controls
+
+        beside = [c.strip() for c in controls.split(",") if c.strip()]
+        made = [evaluation.newey_west(daily_ols_controls(panel, names, t, beside, least), "beta", lags).withColumn("target", F.lit(t)) for t, lags in ((short, 5), (long, 21))]
+        made[0].unionByName(made[1]).write.mode("overwrite").parquet(f"{output_dir}/controlled_betas.parquet")
     horizons.top_stable(spark.read.parquet(table), least_dates).write.mode("overwrite").parquet(f"{output_dir}/top_signals.parquet")
     return table
 
@@ -193,23 +205,97 @@ def rank_model(spark: SparkSession, input: str, output_dir: str, target: str = "
     return path
 
 
-def combine(spark: SparkSession, single: str, net: str, importance: str, output: str, short: str = "fwd_cc_5d", long: str = "fwd_cc_21d") -> str:
-    """Method groups of signals from validate-signals, elastic-net and rank-model."""
-    from .operators.evidence import best_linear, method_groups
+def ablation(spark: SparkSession, input: str, output_dir: str, target: str = "fwd_cc_5d", suffix: str = "_cs_rank", objective: str = "pairwise", rounds: int = 200, trials: int = 6, least: int = 50, clusters: str = "", optional: bool = False) -> str:
+    """The standard experiments with and without signals, their rank ICs and the differences from the baseline.
+
+    `clusters` is what select-signals wrote; its heads are the selected signals, all usable ones without it.
+    """
+    from .operators.evidence import ablation_deltas
+
+    panel = spark.read.parquet(input)
+    names = _features(panel, suffix)
+    number_of = lambda f: int(f.removeprefix("alpha_").split("_")[0])
+    columns = {number_of(f): f for f in names}
+    usable = {number_of(r["feature"]) for r in splits.usable_features(panel, names, target, dates=min(50, least)).filter("usable").collect()}  # one row a signal
+    heads = {number_of(r["alpha"]) for r in spark.read.parquet(clusters).filter("is_head").collect()} if clusters else usable
+    rows = panel.select(*KEYS, target, *names).join(F.broadcast(splits.date_split(panel)), "date")  # one row a date
+    grids = tuple(ranker.trials(objective, rounds, high)[:trials] for high in (False, True))
+    got = ranker.run_ablation(ranker.cut(rows), columns, usable, heads, target, grids, ranker.EXPERIMENTS + (ranker.OPTIONAL_EXPERIMENTS if optional else ()), least)
+    path = f"{output_dir}/ablation.parquet"
+    ablation_deltas(got, ["val_rank_ic", "test_rank_ic"]).write.mode("overwrite").parquet(path)
+    return path
+
+
+def _by_method(spark: SparkSession, single: str, net: str, importance: str, short: str, long: str) -> DataFrame:
+    """One row a signal: the best linear evidence, what the elastic net chose, and the ranker's gains and ranks."""
+    from .operators.evidence import best_linear
 
     base = lambda c: F.regexp_extract(c, r"^(alpha_\d+)", 1)  # noqa: E731  # features are named after their signal
     results = spark.read.parquet(single).withColumns({"alpha": base("alpha"), "variant": F.lit("value"), "mean_ic": F.col("ic_mean")})
     linear = best_linear(results, short, long)
-    chosen = spark.read.parquet(net).groupBy(base("feature").alias("alpha")).agg(F.bool_or("selected").alias("regularized"))
+    chosen = spark.read.parquet(net).groupBy(base("feature").alias("alpha")).agg(F.bool_or("selected").alias("regularized"), F.count_if("selected").cast("int").alias("times"))
     ranked = spark.read.parquet(importance).groupBy(base("feature").alias("alpha")).agg(F.avg("importance_rank").alias("average_rank"), F.min("importance_rank").alias("best_rank"), F.max("gain").alias("best_gain"))
-    table = linear.join(chosen, "alpha", "full_outer").join(ranked, "alpha", "full_outer")
-    method_groups(table).write.mode("overwrite").parquet(output)
+    return linear.join(chosen, "alpha", "full_outer").join(ranked, "alpha", "full_outer")
+
+
+def combine(spark: SparkSession, single: str, net: str, importance: str, output: str, short: str = "fwd_cc_5d", long: str = "fwd_cc_21d") -> str:
+    """Method groups of signals from validate-signals, elastic-net and rank-model."""
+    from .operators.evidence import method_groups
+
+    method_groups(_by_method(spark, single, net, importance, short, long).drop("times")).write.mode("overwrite").parquet(output)
+    return output
+
+
+def final_select(spark: SparkSession, single: str, net: str, importance: str, ic_summary: str, clusters: str, output_dir: str, short: str = "fwd_cc_5d", long: str = "fwd_cc_21d") -> str:
+    """Final scores and groups of candidates from every step's evidence, a list of the kept signals and a report."""
+    from .operators import evidence as E
+    from .operators.panel_joins import GROUP_ORDER, group_place
+
+    base = lambda c: F.regexp_extract(c, r"^(alpha_\d+)", 1)
+    ic = spark.read.parquet(ic_summary).groupBy(base("alpha").alias("alpha")).agg(F.max_by("mean_ic", F.abs("t_stat")).alias("ic"), F.max_by("icir", F.abs("t_stat")).alias("icir"), F.max_by("t_stat", F.abs("t_stat")).alias("ic_t_stat"))
+    heads = spark.read.parquet(clusters).groupBy(base("alpha").alias("alpha")).agg(F.bool_or("is_head").alias("selected_by_ic"))
+    table = _by_method(spark, single, net, importance, short, long).join(ic, "alpha", "full_outer").join(heads, "alpha", "left")
+    top = table.agg(F.max("best_gain").alias("_top"))  # one row
+    survived = F.col("selected_by_ic").isNotNull()
+    status = F.when(F.col("selected_by_ic"), "cluster_head_kept").when(survived, "dropped_redundant").otherwise("failed_significance_filter")
+    made = table.crossJoin(F.broadcast(top)).select(
+        "alpha", F.regexp_extract("alpha", r"(\d+)", 1).cast("int").alias("alpha_id"), F.col("linear_score").alias("linear_support"), "horizon_consistency",
+        E.lasso_support(F.col("regularized"), F.col("times"), F.lit(0)).alias("lasso_support"), E.ranker_support(F.col("best_gain"), F.col("_top"), F.col("average_rank"), F.col("best_rank")).alias("ranker_support"),
+        E.ic_support(F.coalesce("selected_by_ic", F.lit(False)), survived, F.col("ic_t_stat")).alias("ic_support"), F.col("ic").alias("mean_ic"), "icir", F.col("ic_t_stat").alias("t_stat"),
+        F.coalesce("selected_by_ic", F.lit(False)).alias("selected_by_ic"), ((F.col("best_rank") <= 10) | (F.col("average_rank") <= 20)).alias("selected_by_ranker"), (F.col("linear_score") >= 0.55).alias("selected_by_linear"), status.alias("redundancy_status"),
+    )
+    path = f"{output_dir}/final_candidates.parquet"
+    E.final_candidates(made).write.mode("overwrite").parquet(path)
+    final = spark.read.parquet(path).orderBy(group_place(F.col("final_group")), F.desc("final_score"), "alpha")
+    rows = final.collect()  # one row a signal
+    tables.write_lines(spark, [r["alpha"] for r in rows if r["final_group"] != GROUP_ORDER[-1]], f"{output_dir}/final_features.txt")
+    lines = ["# Final candidates", "", *(f"- {g}: {sum(r['final_group'] == g for r in rows)}" for g in GROUP_ORDER), ""]
+    for g in GROUP_ORDER:
+        lines += tables.markdown(g, final.filter(F.col("final_group") == g).select("alpha", "final_score", "linear_support", "lasso_support", "ranker_support", "ic_support", "redundancy_status"), 100)
+    tables.write_lines(spark, lines, f"{output_dir}/final_report.md")
+    return path
+
+
+#: Tables that the steps write, in the order that a report shows them.
+REPORTED = ("top_signals", "single_signals", "controlled_betas", "ic_summary", "clusters", "elastic_net", "trials", "importance", "ablation", "final_candidates")
+
+
+def report(spark: SparkSession, work_dir: str, output: str, rows: int = 20) -> str:
+    """One Markdown text of the tables that the steps have left in a folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(work_dir)
+    held = {f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)}
+    lines = ["# Research report", ""]
+    for t in REPORTED:
+        if f"{t}.parquet" in held:
+            lines += tables.markdown(t.replace("_", " "), spark.read.parquet(f"{work_dir}/{t}.parquet"), rows)
+    tables.write_lines(spark, lines, output)
     return output
 
 
 COMMANDS: dict[str, Callable[..., str]] = {
     "process-folder": process_folder, "merge-batches": merge_batches, "enrich": enrich, "cross-section": cross_section_panel, "labels": label_panel,
     "validate-signals": validate_signals, "select-signals": select_signals, "elastic-net": elastic_net, "rank-model": rank_model, "combine": combine,
+    "ablation": ablation, "final-select": final_select, "report": report,
 }
 
 

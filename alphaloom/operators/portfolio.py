@@ -23,8 +23,12 @@ def picks(scores: DataFrame, days: DataFrame, n: int) -> DataFrame:
     return ranked.select(F.col("date").alias("rebalance"), "ticker", side.alias("side"), "score").filter("side IS NOT NULL")
 
 
-def simulate(scores: DataFrame, returns: DataFrame, n: int = 10, bucket: str = "week", cost: float = 0.001, weighted: bool = False) -> DataFrame:
-    """date, long_ret, short_ret, ls_ret: held from each date's last valid rebalance; cost on every calendar rebalance."""
+def simulate(scores: DataFrame, returns: DataFrame, n: int = 10, bucket: str = "week", cost: float = 0.001, weighted: bool = False, scale: DataFrame | None = None) -> DataFrame:
+    """date, long_ret, short_ret, ls_ret: held from each date's last valid rebalance; cost on every calendar rebalance.
+
+    `scale` (date, regime_scale; one row a date) multiplies the long and the long-short return by its latest value at or before
+    the date, and is added; then, as in the version that knows regimes, cost is borne by the long-short return alone.
+    """
     days = rebalance_dates(returns, bucket)
     chosen = picks(scores, days, n)
     valid = chosen.select("rebalance").distinct()
@@ -38,6 +42,12 @@ def simulate(scores: DataFrame, returns: DataFrame, n: int = 10, bucket: str = "
     daily = book.groupBy("date").agg(leg("long").alias("long_ret"), leg("short").alias("short_ret"))
     daily = daily.join(days.withColumn("_c", F.lit(2 * cost)), "date", "left")
     charge = F.coalesce("_c", F.lit(0.0))
+    if scale is not None:
+        of = Window.orderBy("date", "_v").rowsBetween(Window.unboundedPreceding, 0)  # one row a date on both sides
+        known = scale.select("date", F.lit(0).alias("_v"), "regime_scale").union(calendar.select("date", F.lit(1), F.lit(None).cast("double")))
+        known = known.withColumn("regime_scale", F.coalesce(F.last("regime_scale", ignorenulls=True).over(of), F.lit(1.0))).filter("_v = 1").select("date", "regime_scale")
+        k = F.col("regime_scale")
+        return daily.join(known, "date").select("date", (F.col("long_ret") * k).alias("long_ret"), "short_ret", ((F.col("long_ret") - F.col("short_ret") - charge) * k).alias("ls_ret"), "regime_scale")
     return daily.select("date", (F.col("long_ret") - charge).alias("long_ret"), "short_ret", (F.col("long_ret") - F.col("short_ret") - charge).alias("ls_ret"))
 
 

@@ -33,6 +33,18 @@ def write_table(df: DataFrame, path: str) -> None:
     writer.option("header", "true").csv(path) if path.endswith(".csv") else writer.parquet(path)
 
 
+def write_lines(spark: SparkSession, lines: list[str], path: str) -> None:
+    """A short text, such as a report or a list of columns, as one part file of a folder."""
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def markdown(title: str, df: DataFrame, rows: int = 20) -> list[str]:
+    """A heading and the first rows of a table: a report."""
+    shown = lambda v: "" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v)
+    lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+    return [*lines, *("| " + " | ".join(map(shown, r)) + " |" for r in df.limit(rows).collect()), ""]
+
+
 def normalise_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*(re.sub(r"_+", "_", re.sub(r"[\s\-/.]+", "_", c.strip().lower())).strip("_") for c in df.columns))
 

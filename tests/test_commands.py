@@ -46,7 +46,8 @@ def test_commands_in_a_row(spark, tmp_path):
     assert run("labels", "--input", f"{w}/cs.parquet", "--output", f"{w}/model.parquet", "--market-file", f"{w}/market.csv") == 0
     model = spark.read.parquet(f"{w}/model.parquet")
     assert {"fwd_excess_21d", "fwd_vwap_1d", "alpha_27_cs_rank"} <= set(model.columns) and model.count() == 8 * 340
-    assert run("validate-signals", "--input", f"{w}/model.parquet", "--output-dir", w, "--least", 5) == 0
+    assert run("validate-signals", "--input", f"{w}/model.parquet", "--output-dir", w, "--least", 5, "--controls", "alpha_37") == 0
+    assert {(r["alpha"], r["target"]) for r in spark.read.parquet(f"{w}/controlled_betas.parquet").collect()} >= {("alpha_27", "fwd_cc_5d"), ("alpha_54", "fwd_cc_21d")}
     assert {(r["alpha"], r["target"]) for r in spark.read.parquet(f"{w}/single_signals.parquet").collect()} >= {(a, f"fwd_cc_{h}d") for a in ("alpha_27", "alpha_54") for h in (5, 21)}
     assert run("select-signals", "--input", f"{w}/model.parquet", "--output-dir", w, "--least", 5, "--t", 0) == 0
     assert {r["alpha"] for r in spark.read.parquet(f"{w}/clusters.parquet").collect()} == {"alpha_27", "alpha_37", "alpha_54"}
@@ -56,6 +57,18 @@ def test_commands_in_a_row(spark, tmp_path):
     assert {r[0] for r in predictions.select("split").distinct().collect()} == {"val", "test"} and predictions.filter("prediction IS NULL").isEmpty()
     assert run("combine", "--single", f"{w}/single_signals.parquet", "--net", f"{w}/elastic_net.parquet", "--importance", f"{w}/importance.parquet", "--output", f"{w}/groups.parquet") == 0
     assert spark.read.parquet(f"{w}/groups.parquet").filter("method_group IS NOT NULL").count() == 3
+    evidence = ("--single", f"{w}/single_signals.parquet", "--net", f"{w}/elastic_net.parquet", "--importance", f"{w}/importance.parquet")
+    assert run("final-select", *evidence, "--ic-summary", f"{w}/ic_summary.parquet", "--clusters", f"{w}/clusters.parquet", "--output-dir", w) == 0
+    final = {r["alpha"]: r for r in spark.read.parquet(f"{w}/final_candidates.parquet").collect()}
+    assert final.keys() == {"alpha_27", "alpha_37", "alpha_54"} and all(0 <= r["final_score"] <= 1 and r["final_group"].startswith("final_") for r in final.values())
+    kept = [r["value"] for r in spark.read.text(f"{w}/final_features.txt").collect()]
+    assert sorted(kept) == sorted(a for a, r in final.items() if r["final_group"] != "final_excluded_for_now")
+    assert run("ablation", "--input", f"{w}/model.parquet", "--output-dir", w, "--rounds", 1, "--trials", 1, "--least", 5, "--clusters", f"{w}/clusters.parquet") == 0
+    deltas = {r["experiment"]: r for r in spark.read.parquet(f"{w}/ablation.parquet").collect()}
+    assert len(deltas) == 8 and deltas["baseline_current"]["test_rank_ic_delta"] in (0.0, None)
+    assert run("report", "--work-dir", w, "--output", f"{w}/report.md") == 0
+    text = [r["value"] for r in spark.read.text(f"{w}/report.md").collect()]
+    assert text[0] == "# Research report" and {"## final candidates", "## ablation", "## single signals"} <= set(text)
 
 
 def test_conflicting_batches_fail(spark, tmp_path):
