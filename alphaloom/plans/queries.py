@@ -478,16 +478,33 @@ def qa_date_gaps(spark, d):
     return quality_checks.date_gaps(P.bars(spark, d))
 
 
-@query("qa_panel_report", "SELECT * FROM (VALUES ('unique_keys', 'PASS', '0'), ('required_columns', 'PASS', ''), ('range_alpha_27_rank', 'PASS', '0'), ('finite_alpha_27_rank', 'PASS', '0'), ('finite_alpha_27_z', 'PASS', '0')) t(\"check\", status, detail)")
+def _check_sql(name: str, count: str) -> str:
+    return f"""SELECT '{name}' AS "check", CASE WHEN {count} = 0 THEN 'PASS' ELSE 'FAIL' END AS status, ({count})::VARCHAR AS detail FROM c"""
+
+
+_REPORT_SQL = f"""WITH {S.MONTH}, {_WIN}, z AS (SELECT date, ticker, (win - avg(win) OVER v) / nullif(stddev_samp(win) OVER v, 0) AS zs, {S.unit_rank("win", "date")} AS rk FROM w WINDOW v AS (PARTITION BY date)),
+c AS (SELECT count(*) - count(DISTINCT (date, ticker)) AS dup, count(*) FILTER (rk < 0 OR rk > 1) AS outside, count(*) FILTER (NOT isfinite(rk)) AS wild_rank, count(*) FILTER (NOT isfinite(zs)) AS wild_z FROM z)
+{_check_sql("unique_keys", "dup")} UNION ALL SELECT 'required_columns', 'PASS', '' UNION ALL {_check_sql("range_alpha_27_rank", "outside")} UNION ALL {_check_sql("finite_alpha_27_rank", "wild_rank")} UNION ALL {_check_sql("finite_alpha_27_z", "wild_z")}"""
+
+
+@query("qa_panel_report", _REPORT_SQL)
 def qa_panel_report(spark, d):
     rows = cross_section.transform(P.month_panel(spark, d, (27,)), ["alpha_27"], "B")
     return quality_checks.panel_report(rows, ["date", "ticker"], ["alpha_27_rank"], ["alpha_27_z"], ["date", "ticker", "sector"])
 
 
-@query("qa_no_lookahead", "SELECT 'no_lookahead_alpha_' || k AS \"check\", 'PASS' AS status, '0' AS detail FROM (VALUES (27), (47), (50), (61)) t(k)")
+_CUT, _LOOK = "1998-06-30", (27, 47, 50, 61)
+_SIGNALS_OF = "SELECT ticker, date, {a} FROM s3 {w}".format(a=", ".join(f"{S.ALPHA[k]} AS alpha_{k}" for k in _LOOK), w=S.WINDOWS)
+_SHORT_BARS = S.BARS.replace("WHERE l_quantity > 0", f"WHERE l_shipdate::DATE <= DATE '{_CUT}' AND l_quantity > 0")
+_LOOK_SQL = f"""WITH whole AS (WITH {S.BARS}, {S.SIGNALS} SELECT * FROM ({_SIGNALS_OF}) WHERE date <= DATE '{_CUT}'), upto AS (WITH {_SHORT_BARS}, {S.SIGNALS} {_SIGNALS_OF}),
+c AS (SELECT {", ".join(f"count(*) FILTER (NOT coalesce(abs(a.alpha_{k} - b.alpha_{k}) <= 1e-8, a.alpha_{k} IS NULL AND b.alpha_{k} IS NULL)) AS n_{k}" for k in _LOOK)} FROM whole a FULL JOIN upto b USING (ticker, date))
+""" + " UNION ALL ".join(_check_sql(f"no_lookahead_alpha_{k}", f"n_{k}") for k in _LOOK)
+
+
+@query("qa_no_lookahead", _LOOK_SQL)
 def qa_no_lookahead(spark, d):
-    ids = [27, 47, 50, 61]
-    return quality_checks.same_on_truncation(lambda b: add_signals(b, ids), P.bars(spark, d), "1998-06-30", [f"alpha_{k}" for k in ids])
+    ids = list(_LOOK)
+    return quality_checks.same_on_truncation(lambda b: add_signals(b, ids), P.bars(spark, d), _CUT, [f"alpha_{k}" for k in ids])
 
 
 def _ids(spark, d, t, c):
