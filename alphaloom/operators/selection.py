@@ -34,11 +34,16 @@ def pair_correlation(panel: DataFrame, alphas: list[str], keys: list[str], rank:
     pairs = F.array(*(F.struct(value(a).alias("l"), value(b).alias("r")) for i, a in enumerate(names) for b in names[i + 1 :])) if len(names) > 1 else F.array().cast("array<struct<l:struct<k:string,v:double,b:int>,r:struct<k:string,v:double,b:int>>>")
     rows = rows.select(F.explode(pairs).alias("p")).filter("p.l.v IS NOT NULL AND p.r.v IS NOT NULL")
     rows = rows.select(F.col("p.l.k").alias("a"), F.col("p.r.k").alias("b"), F.col("p.l.v").alias("x"), F.col("p.r.v").alias("y"), F.col("p.l.b").alias("bx"), F.col("p.r.b").alias("by"))
-    for c, bucket in (("x", "bx"), ("y", "by")) if rank else ():
-        own = ["a", "b", bucket]
-        below = Window.partitionBy("a", "b").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-        sizes = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_n")).select(*own, F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"))  # `buckets` rows a pair
-        rows = rows.withColumn(c, average_rank(F.col(c), own)).join(sizes, own).withColumn(c, F.col(c) + F.col("_below")).drop("_below")
+    if rank:  # one small aggregate gives the sizes of both signals' buckets
+        cells = rows.groupBy("a", "b", "bx", "by").agg(F.count(F.lit(1)).alias("_n"))
+        sizes = {}
+        for bucket in ("bx", "by"):
+            below = Window.partitionBy("a", "b").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+            own = cells.groupBy("a", "b", bucket).agg(F.sum("_n").alias("_n"))
+            sizes[bucket] = own.select("a", "b", bucket, F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"))
+        for c, bucket in (("x", "bx"), ("y", "by")):
+            own = ["a", "b", bucket]
+            rows = rows.withColumn(c, average_rank(F.col(c), own)).join(sizes[bucket], own).withColumn(c, F.col(c) + F.col("_below")).drop("_below")
     return rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), safe_corr(F.col("x"), F.col("y")).alias("corr")).filter(F.col("n") >= least)
 
 

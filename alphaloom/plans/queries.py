@@ -14,7 +14,7 @@ from ..functions.rolling_ols import add_residual
 from ..functions.signals import add_signals
 from ..functions.windows import by_ticker
 from ..operators import bars as B
-from ..operators import cross_section, evaluation, labels, portfolio, quality_checks, selection, splits
+from ..operators import cross_section, evaluation, labels, portfolio, quality_checks, ranker, selection, splits
 from ..operators.asof import asof_backward
 from ..sources import tables
 from . import panels as P
@@ -331,7 +331,8 @@ def pair_corr(spark, d):
 
 @query("pair_rank_corr", f"WITH {S.MONTH}, {_LONG}, {_PAIRS_SQL}, k AS (SELECT a, b, {S.avg_rank('x', 'a, b')} AS rx, {S.avg_rank('y', 'a, b')} AS ry FROM x) SELECT a, b, count(*) AS n, round(corr(rx, ry), 8) AS corr FROM k GROUP BY 1, 2 HAVING count(*) >= 50")
 def pair_rank_corr(spark, d):
-    return selection.pair_correlation(P.month_panel(spark, d), P.NAMES, ["date", "ticker"], rank=True)
+    panel = ranker.cut(P.month_panel(spark, d).select("date", "ticker", *P.NAMES))  # read for edges, sizes and ranks
+    return selection.pair_correlation(panel, P.NAMES, ["date", "ticker"], rank=True)
 
 
 @query("redundancy_clusters")
