@@ -12,8 +12,9 @@ present depth), and the recall measured on a seeded sample of documents that are
 force. Only candidates new at a depth are verified. At the last depth, one min-hash, a pair of similarity 0.8 is missed
 with probability 0.2 ** 24.
 
-Candidates of a node are verified in blocks; a node of more than `block` classes is dealt into chunks and each pair of
-chunks is a task, so no task holds an unbounded group, no pair is emitted as a row, and none is lost. A pair that
+Candidates of a node are verified in blocks; a node of more than `block` classes or `weight` shingles is dealt into chunks
+and each pair of chunks is a group of its own, so no group is unbounded, however many or long the texts, no pair is emitted
+as a row, and none is lost. A pair that
 meets in several trees is counted in the first of them. Nodes with the same members in several trees are verified once.
 Texts travel once, and only those that a fixed-size bitmap of the candidates lets pass.
 
@@ -43,6 +44,8 @@ _MUL = (_RNG.integers(1, 1 << 31, TREES * DEPTH, dtype=np.uint32) << np.uint32(1
 _ADD = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
 #: Similarities are counted in this many steps from 0 to 1.
 STEPS = 200
+#: Bytes of shingles that a batch on its way to the blocks holds, beyond those of one class.
+SHIPPED = 1 << 24
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -99,15 +102,16 @@ def _describe(sample: list[tuple[int, int, np.ndarray]], threshold: float):
                 sets = shingle_sets(held)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sig = signatures([sets[i] for i in full]) if full else None
-                cols: list[list] = [[None] * len(sets) for _ in range(4)]
+                cols: list[list] = [[None] * len(sets) for _ in range(5)]
                 for row, i in enumerate(full):
                     s = sets[i]
                     cols[0][i] = int(np.bitwise_xor.reduce(mix64(s)).astype(np.int64))
                     cols[1][i] = int((mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64))
                     cols[2][i] = sig[row].tobytes()
                     cols[3][i] = linked(s) if sample else []
+                    cols[4][i] = len(s)
                 own = batch.slice(first, len(held))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.list_(pa.int32()))], ["doc_id", "print", "set_a", "set_b", "sig", "audited"])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.int32())], ["doc_id", "print", "set_a", "set_b", "sig", "audited", "size"])
 
     return run
 
@@ -127,7 +131,7 @@ def _labels(batches):
             label = np.empty((len(own), TREES, 1 + 4 * DEPTH), np.uint8)
             label[:, :, 0] = np.arange(TREES)
             label[:, :, 1:] = sig.view(np.uint8).reshape(len(own), TREES, 4 * DEPTH)
-            yield pa.RecordBatch.from_arrays([_binary(label.reshape(-1, 1 + 4 * DEPTH)), pa.array(np.repeat(own.column(0).to_numpy(), TREES))], ["label", "rep"])
+            yield pa.RecordBatch.from_arrays([_binary(label.reshape(-1, 1 + 4 * DEPTH)), *(pa.array(np.repeat(own.column(c).to_numpy(), TREES)) for c in (0, 2))], ["label", "rep", "size"])
 
 
 def _runs(column: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +141,7 @@ def _runs(column: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _nodes(depth: int):
-    """Runs of two or more classes, and those at the ends of a batch, with digests of their members."""
+    """Runs of two or more classes, and those at the ends of a batch, with their shingles and digests of their members."""
 
     def run(batches):
         for batch in batches:
@@ -146,10 +150,11 @@ def _nodes(depth: int):
             rows, starts = _runs(batch.column(0), depth)
             n = np.diff(np.append(starts, len(rows)))
             rep = batch.column(1).to_numpy().astype(np.uint64)
+            size = np.add.reduceat(batch.column(2).to_numpy().astype(np.int64), starts)
             a, b = (np.bitwise_xor.reduceat(mix64(rep * np.uint64(2) + np.uint64(k)), starts).astype(np.int64) for k in (0, 1))
             on = n > 1
             on[[0, -1]] = True
-            yield pa.RecordBatch.from_arrays([_binary(rows[starts[on]]), *(pa.array(x[on]) for x in (n.astype(np.int64), a, b))], ["node", "n", "fa", "fb"])
+            yield pa.RecordBatch.from_arrays([_binary(rows[starts[on]]), *(pa.array(x[on]) for x in (n.astype(np.int64), size, a, b))], ["node", "n", "size", "fa", "fb"])
 
     return run
 
@@ -172,18 +177,20 @@ def _members(depth: int):
 
 
 def _ship(batches):
-    """One row per block of a class: the shingles travel once for each block the class is in."""
+    """One row per block of a class: the shingles travel once for each block the class is in, about SHIPPED bytes in a batch."""
     for batch in batches:
         held, blocks = batch.column(1), batch.column(2).to_pylist()
         for i in range(len(batch)):
             (shingles,) = shingle_sets([held[i].as_py().encode("utf-8", "surrogatepass")])
-            own = blocks[i]
-            n = len(own)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b["node"] for b in own], pa.binary()), pa.array([b["i"] for b in own], pa.int32()), pa.array([b["j"] for b in own], pa.int32()), pa.array([b["chunk"] for b in own], pa.int32()),
-                 pa.array([batch.column(0)[i].as_py()] * n, pa.int64()), pa.array([batch.column(3)[i].as_py()] * n, pa.int64()), pa.array([batch.column(4)[i].as_py()] * n, pa.binary()), pa.array([shingles.tobytes()] * n, pa.binary())],
-                ["node", "i", "j", "chunk", "rep", "copies", "sig", "shingles"],
-            )
+            step = max(1, SHIPPED // (shingles.nbytes + 1))
+            for at in range(0, len(blocks[i]), step):
+                own = blocks[i][at : at + step]
+                n = len(own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b["node"] for b in own], pa.binary()), *(pa.array([b[c] for b in own], pa.int32()) for c in ("i", "j", "chunk")),
+                     pa.array([batch.column(0)[i].as_py()] * n, pa.int64()), pa.array([batch.column(3)[i].as_py()] * n, pa.int64()), pa.array([batch.column(4)[i].as_py()] * n, pa.binary()), pa.array([shingles.tobytes()] * n, pa.binary())],
+                    ["node", "i", "j", "chunk", "rep", "copies", "sig", "shingles"],
+                )
 
 
 def _common(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
@@ -255,7 +262,7 @@ _LINK_SCHEMA = "rep long, links long, root long, steps array<long>"
 _EMPTY = pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))], names=_LINKS)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.9995, block: int = 512, audit: int = 128, seed: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.9995, block: int = 512, weight: int = 1 << 20, audit: int = 128, seed: int = 3) -> DataFrame:
     """doc_id, class_id (smallest doc_id reachable by links), n_links (other documents linked), kept, print (of the text): one row per input row."""
     spark = docs.sparkSession
     tables = SharedTables(spark, "forest")
@@ -263,20 +270,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.9
     drawn = F.pmod(F.xxhash64("doc_id", "print", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, audit / max(docs.count(), 1)) * (1 << 30))
     few = texts.filter(drawn & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= 1_000_000)).limit(4 * audit).collect()
     sample = [(r["doc_id"], r["print"], s) for r in few if len(s := shingle_sets([r["text"].encode("utf-8", "surrogatepass")])[0])]
-    described = tables.save(texts.mapInArrow(_describe(sample, threshold), "doc_id long, print long, set_a long, set_b long, sig binary, audited array<int>"))
+    described = tables.save(texts.mapInArrow(_describe(sample, threshold), "doc_id long, print long, set_a long, set_b long, sig binary, audited array<int>, size int"))
     shown = described.filter("doc_id IS NOT NULL AND sig IS NOT NULL")
     audited = shown.select(F.explode("audited").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a sampled document
     truth = {sample[r["k"]][:2]: r["n"] - 1 for r in audited}
     head = F.min(F.struct("doc_id", "print", "sig")).alias("head")  # taken before the shuffle, so a group of equal sets is no hot key
-    classes = shown.groupBy("set_a", "set_b").agg(head, F.count(F.lit(1)).alias("copies"))
-    classes = tables.save(classes.select(F.monotonically_increasing_id().alias("rep"), "set_a", "set_b", "head.*", "copies"))
-    trie = tables.save(classes.select("rep", "sig").mapInArrow(_labels, "label binary, rep long").repartitionByRange("label").sortWithinPartitions("label"))
+    classes = shown.groupBy("set_a", "set_b").agg(head, F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"))
+    classes = tables.save(classes.select(F.monotonically_increasing_id().alias("rep"), "set_a", "set_b", "head.*", "copies", "size"))
+    trie = tables.save(classes.select("rep", "sig", "size").mapInArrow(_labels, "label binary, rep long, size int").repartitionByRange("label").sortWithinPartitions("label"))
 
     found: list[DataFrame] = []
     pairs = np.zeros(STEPS + 1, np.int64)
     above = None
     for depth in range(DEPTH, 0, -1):
-        new = tables.save(_match(texts, classes, trie, depth, above, threshold, block, tables))
+        new = tables.save(_match(texts, classes, trie, depth, above, threshold, block, weight, tables))
         found.append(new)
         for r in new.filter("steps IS NOT NULL").select(F.posexplode("steps").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():  # one row a step
             pairs[r["at"]] += r["n"]
@@ -317,11 +324,12 @@ def measured_recall(truth: dict[tuple[int, int], int], classes: DataFrame, shown
     return sum(got[k][1] + links.get(got[k][0], 0) >= n for k, n in wanted.items()) / len(wanted)
 
 
-def _match(texts: DataFrame, classes: DataFrame, trie: DataFrame, depth: int, above: int | None, threshold: float, block: int, tables: SharedTables) -> DataFrame:
+def _match(texts: DataFrame, classes: DataFrame, trie: DataFrame, depth: int, above: int | None, threshold: float, block: int, weight: int, tables: SharedTables) -> DataFrame:
     """Verified links among classes that share a prefix of `depth` in some tree, and none of depth `above`."""
-    runs = trie.select("label", "rep").mapInArrow(_nodes(depth), "node binary, n long, fa long, fb long")
-    nodes = runs.groupBy("node").agg(F.sum("n").alias("n"), F.bit_xor("fa").alias("fa"), F.bit_xor("fb").alias("fb")).filter("n > 1")
-    once = tables.save(nodes.groupBy("n", "fa", "fb").agg(F.min("node").alias("node")).select("node", F.ceil(F.col("n") / block).cast("int").alias("chunks")))
+    runs = trie.mapInArrow(_nodes(depth), "node binary, n long, size long, fa long, fb long")
+    nodes = runs.groupBy("node").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.bit_xor("fa").alias("fa"), F.bit_xor("fb").alias("fb")).filter("n > 1")
+    chunks = F.ceil(F.greatest(F.col("n") / block, F.col("size") / weight)).cast("int").alias("chunks")
+    once = tables.save(nodes.groupBy("n", "size", "fa", "fb").agg(F.min("node").alias("node")).select("node", chunks))
     runs_of = tables.save(trie.select("label", "rep").mapInArrow(_members(depth), "node binary, rep long"))
     members = spread_join(runs_of, once, ["node"], "rep").withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))

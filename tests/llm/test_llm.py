@@ -82,10 +82,12 @@ def brute_links(rows):
     return sets, links
 
 
-@pytest.mark.parametrize("block", [512, 8])
-def test_near_duplicates(docs, rows, spark, block):
+@pytest.mark.parametrize(("block", "weight"), [(512, 1 << 20), (8, 1 << 20), (512, 700)])
+def test_near_duplicates(docs, rows, spark, block, weight, monkeypatch):
+    """Links equal brute force, whole or with nodes dealt by classes or by shingles, in batches of few bytes."""
+    monkeypatch.setattr(ngram_join, "SHIPPED", ngram_join.SHIPPED if weight > 700 else 1)
     sets, links = brute_links(rows)
-    got = {r["doc_id"]: r for r in ngram_join.near_duplicates(docs, block=block).collect()}
+    got = {r["doc_id"]: r for r in ngram_join.near_duplicates(docs, block=block, weight=weight).collect()}
     assert len(got) == len(rows)
     for i in sets:
         seen, todo = {i}, [i]
@@ -112,9 +114,9 @@ def test_near_duplicates_that_repeat_an_id(spark):
 def test_nodes_of_the_sorted_tries_are_shared_prefixes():
     rng = np.random.default_rng(4)
     sig = rng.integers(0, 3, (50, ngram_join.TREES * ngram_join.DEPTH)).astype(np.uint32)
-    batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary())], ["rep", "sig"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(range(50), pa.int32())], ["rep", "sig", "size"])
     (labels,) = ngram_join._labels([batch])
-    labels = pa.RecordBatch.from_arrays([c for c in labels.take(pa.array(sorted(range(len(labels)), key=lambda k: labels.column(0)[k].as_py()))).columns], ["label", "rep"])
+    labels = pa.RecordBatch.from_arrays([c for c in labels.take(pa.array(sorted(range(len(labels)), key=lambda k: labels.column(0)[k].as_py()))).columns], ["label", "rep", "size"])
     for depth in (6, 2, 1):
         want = defaultdict(set)
         for rep in range(50):
@@ -125,10 +127,12 @@ def test_nodes_of_the_sorted_tries_are_shared_prefixes():
             for node, rep in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 got[node[0], *np.frombuffer(node[1:], ">u4").tolist()].add(rep)
         assert all(got[k] == m for k, m in want.items() if len(m) > 1)
-        n = Counter()
+        n, size = Counter(), Counter()
         for part in ngram_join._nodes(depth)([labels.slice(0, 301), labels.slice(301)]):
-            for node, k in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            for node, k, held in zip(*(part.column(c).to_pylist() for c in (0, 1, 2))):
                 n[node[0], *np.frombuffer(node[1:], ">u4").tolist()] += k
+                size[node[0], *np.frombuffer(node[1:], ">u4").tolist()] += held
+        assert all(size[k] == sum(m) for k, m in want.items() if len(m) > 1)
         assert {k: v for k, v in n.items() if v > 1} == {k: len(m) for k, m in want.items() if len(m) > 1}
         shared = ngram_join.shared_prefix(sig, 3, depth)
         assert all(shared[i, j] == (sig[i].reshape(24, 6)[3, :depth] == sig[j].reshape(24, 6)[3, :depth]).all() for i in range(50) for j in range(50))
