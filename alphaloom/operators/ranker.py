@@ -1,8 +1,8 @@
 """Learning to rank by date: boosted histogram trees with pairwise or NDCG gradients, trained where the rows are.
 
-The panel becomes one block a date (binned features as bytes, grades), cut off from its plan by a checkpoint. Each tree level is one
-narrow pass over the blocks that returns gradient sums by (node, feature, bin): their size depends on the parameters, never on
-the rows. They are added up on the executors in a fixed number of slots; the driver picks the splits. A date's block is
+The panel becomes one block a date (binned features as bytes, grades, scores), cut off from its plan by a checkpoint. Each tree level
+is one narrow pass over the blocks that returns gradient sums by (node, feature, bin): their size depends on the parameters, never on
+the rows. Every KEPT trees the scores so far go into the blocks by a checkpoint, so a pass runs through fewer than KEPT trees. They are added up on the executors in a fixed number of slots; the driver picks the splits. A date's block is
 bounded by the universe. Pairs live only inside a block, in strips of rows, as gradient sums.
 
 Not bit-equal to any other trainer: gradients are scaled to a mean pair weight of one a row, and bins come from approximate quantiles.
@@ -26,6 +26,7 @@ from .labels import relevance_grade
 
 STRIP = 512
 SLOTS = 16
+KEPT = 25
 #: (max_depth, eta, reg_lambda, reg_alpha, min_child_weight) of the trials: fixed values.
 COVERING = ((2, 0.03, 1.0, 0.0, 5), (2, 0.05, 5.0, 0.1, 10), (3, 0.03, 5.0, 0.1, 5), (3, 0.05, 1.0, 0.0, 10), (4, 0.03, 1.0, 0.1, 10), (4, 0.05, 5.0, 0.0, 5))
 HIGH_REGULARIZATION = ((2, 0.03, 5.0, 0.1, 10), (2, 0.05, 10.0, 0.5, 20), (3, 0.03, 20.0, 1.0, 10), (3, 0.05, 5.0, 1.0, 20), (4, 0.03, 10.0, 0.1, 20), (4, 0.05, 20.0, 0.5, 10))
@@ -95,9 +96,10 @@ class Model:
             out[ok, j] = np.searchsorted(e, raw[ok, j], side="left") + 1
         return out
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        for t in self.trees:
+    def scores(self, x: np.ndarray, start: np.ndarray | None = None, first: int = 0) -> np.ndarray:
+        """Sums over the trees, or over those from `first` on, added to `start`."""
+        total = np.zeros(len(x)) if start is None else start.copy()
+        for t in self.trees[first:]:
             total += t.value[t.nodes(x, self.params.max_depth)]
         return total
 
@@ -156,17 +158,29 @@ def blocks(panel: DataFrame, model: Model, target: str, least: int = 50) -> Data
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < least:
-            return pd.DataFrame(columns=["date", "split", "n", "x", "grade"])
+            return pd.DataFrame(columns=["date", "split", "n", "x", "grade", "score"])
         pdf = pdf.sort_values("ticker", kind="stable")
         x = model.binned(pdf[names].to_numpy(float))
-        return pd.DataFrame({"date": [pdf["date"].iloc[0]], "split": [pdf["split"].iloc[0]], "n": [len(pdf)], "x": [x.tobytes()], "grade": [pdf["grade"].to_numpy(np.uint8).tobytes()]})
+        return pd.DataFrame({"date": [pdf["date"].iloc[0]], "split": [pdf["split"].iloc[0]], "n": [len(pdf)], "x": [x.tobytes()], "grade": [pdf["grade"].to_numpy(np.uint8).tobytes()], "score": [np.zeros(len(pdf)).tobytes()]})
 
     kind = kept.schema["date"].dataType.simpleString()
-    return cut(kept.groupBy("date").applyInPandas(pack, f"date {kind}, split string, n int, x binary, grade binary"))
+    return cut(kept.groupBy("date").applyInPandas(pack, f"date {kind}, split string, n int, x binary, grade binary, score binary"))
 
 
-def _pass(data: DataFrame, model: Model, tree: Tree, level: int, use: np.ndarray) -> tuple[np.ndarray, float, int]:
-    """Gradient sums (node of the level, used feature, bin, 2) over train blocks; NDCG sum and count over val blocks."""
+def _scored(data: DataFrame, model: Model, first: int) -> DataFrame:
+    """The blocks with the trees from `first` on added to their scores."""
+    nf = len(model.features)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            pdf["score"] = [model.scores(np.frombuffer(x, np.uint8).reshape(n, nf), np.frombuffer(s), first).tobytes() for n, x, s in zip(pdf["n"], pdf["x"], pdf["score"])]
+            yield pdf
+
+    return cut(data.mapInPandas(run, data.schema))
+
+
+def _pass(data: DataFrame, model: Model, kept: int, tree: Tree, level: int, use: np.ndarray) -> tuple[np.ndarray, float, int]:
+    """Gradient sums (node of the level, used feature, bin, 2) over train blocks; NDCG sum and count over val blocks. The blocks' scores hold `kept` trees."""
     width, nf, p = model.params.bins + 1, len(model.features), model.params
     first, count, round_no = 2**level - 1, 2**level, len(model.trees)
     shape = (count, len(use), width, 2)
@@ -174,9 +188,9 @@ def _pass(data: DataFrame, model: Model, tree: Tree, level: int, use: np.ndarray
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hist, ndcg, days = np.zeros(shape), 0.0, 0
         for pdf in parts:
-            for date, split, n, xb, gb in pdf[["date", "split", "n", "x", "grade"]].itertuples(index=False):
+            for date, split, n, xb, gb, sb in pdf[["date", "split", "n", "x", "grade", "score"]].itertuples(index=False):
                 x, grade = np.frombuffer(xb, np.uint8).reshape(n, nf), np.frombuffer(gb, np.uint8).astype(float)
-                score = model.scores(x)
+                score = model.scores(x, np.frombuffer(sb), kept)
                 if split != "train":
                     ndcg, days = ndcg + block_ndcg(grade, score), days + 1
                     continue
@@ -233,13 +247,15 @@ def _grow(tree: Tree, hist: np.ndarray, use: np.ndarray, level: int, p: Params)
 
 def train(data: DataFrame, model: Model) -> tuple[Model, list[float]]:
     """The model with the trees of the round of the best validation NDCG (the last without val blocks), and the NDCG after each round."""
-    p, nf, history = model.params, len(model.features), []
+    p, nf, history, kept = model.params, len(model.features), [], 0
     model = replace(model, trees=[])
     while True:
+        if len(model.trees) - kept == KEPT:
+            data, kept = _scored(data, model, kept), len(model.trees)
         use = np.sort(np.random.default_rng([p.seed, len(model.trees)]).permutation(nf)[: max(1, round(p.colsample * nf))])
         tree = Tree.empty(p.max_depth)
         for level in range(p.max_depth):
-            hist, ndcg, days = _pass(data, model, tree, level, use)
+            hist, ndcg, days = _pass(data, model, kept, tree, level, use)
             if level == 0 and days:
                 history.append(ndcg / days)
                 if len(history) - 1 - int(np.argmax(history)) >= p.early_stopping:

@@ -76,6 +76,17 @@ def test_ranker_learns_and_repeats(spark):
     assert len(one) == panel.count() and all(abs(one[k] - two[k]) < 1e-9 for k in one)
 
 
+def test_scores_kept_in_blocks_change_nothing(spark, monkeypatch):
+    seen = _panel(spark).filter("split <> 'test'")
+    model = ranker.Model(["alpha_1", "alpha_2"], ranker.bin_edges(seen, ["alpha_1", "alpha_2"], 16), ranker.Params(rounds=4, max_depth=1, bins=16))
+    data, got = ranker.blocks(seen, model, "y"), []
+    for kept in (25, 1):
+        monkeypatch.setattr(ranker, "KEPT", kept)
+        grown, history = ranker.train(data, model)
+        got.append((history, [t.value.tolist() for t in grown.trees]))
+    assert got[0] == got[1] and len(got[0][0]) == 5
+
+
 def test_ranker_edges(spark):
     panel = _panel(spark, 6, 60).withColumn("alpha_2", F.lit(None).cast("double"))  # no val date, one feature without values
     model, tried = ranker.train_best(panel, ["alpha_1", "alpha_2"], "y", [ranker.Params(rounds=2, max_depth=1)])
