@@ -164,7 +164,9 @@ def blocks(panel: DataFrame, model: Model, target: str, least: int = 50) -> Data
         return pd.DataFrame({"date": [pdf["date"].iloc[0]], "split": [pdf["split"].iloc[0]], "n": [len(pdf)], "x": [x.tobytes()], "grade": [pdf["grade"].to_numpy(np.uint8).tobytes()], "score": [np.zeros(len(pdf)).tobytes()]})
 
     kind = kept.schema["date"].dataType.simpleString()
-    return cut(kept.groupBy("date").applyInPandas(pack, f"date {kind}, split string, n int, x binary, grade binary, score binary"))
+    packed = kept.groupBy("date").applyInPandas(pack, f"date {kind}, split string, n int, x binary, grade binary, score binary")
+    # A block is few bytes and much work (the square of its rows): dealt by number, as partitions of many bytes leave cores idle.
+    return cut(packed.repartition(2 * panel.sparkSession.sparkContext.defaultParallelism))
 
 
 def _scored(data: DataFrame, model: Model, first: int) -> DataFrame:
@@ -212,8 +214,8 @@ def _pass(data: DataFrame, model: Model, kept: int, tree: Tree, level: int, use:
         return pd.DataFrame({"slot": [pdf["slot"].iloc[0]], "part": [0], "hist": [total.tobytes()], "ndcg": [pdf["ndcg"].sum()], "days": [pdf["days"].sum()]})
 
     schema = "slot int, part int, hist binary, ndcg double, days long"
-    rows = data.mapInPandas(run, schema).groupBy("slot").applyInPandas(add, schema).orderBy("slot").collect()  # at most SLOTS rows
-    total = sum((np.frombuffer(r["hist"]).reshape(shape) for r in rows), np.zeros(shape))
+    rows = data.mapInPandas(run, schema).groupBy("slot").applyInPandas(add, schema).collect()  # at most SLOTS rows
+    total = sum((np.frombuffer(r["hist"]).reshape(shape) for r in sorted(rows, key=lambda r: r["slot"])), np.zeros(shape))
     return total, sum(r["ndcg"] for r in rows), sum(r["days"] for r in rows)
 
 
