@@ -29,8 +29,10 @@ def signal_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def coverage_worst(df: DataFrame, columns: list[str], n: int = 10) -> DataFrame:
-    share = sum((F.col(c).isNotNull().cast("double") for c in columns), F.lit(0.0)) / len(columns)
-    return df.groupBy("ticker").agg(F.avg(share).alias("coverage")).orderBy("coverage", "ticker").limit(n)
+    """Values are counted, and divided once: sums of shares would differ in their last bits by the order of rows, and part tickers of equal coverage."""
+    seen = F.size(F.filter(F.array(*(F.col(c).isNotNull() for c in columns)), lambda x: x))
+    coverage = (F.sum("_seen") / (F.count(F.lit(1)) * len(columns))).alias("coverage")
+    return df.select("ticker", seen.alias("_seen")).groupBy("ticker").agg(coverage).orderBy("coverage", "ticker").limit(n)
 
 
 def thin_groups(df: DataFrame, columns: list[str], least: int = 50, sector_least: int = 5) -> DataFrame:

@@ -53,6 +53,16 @@ def expected(p: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({f"alpha_{k}": x for k, x in out.items()})
 
 
+def test_coverage_ties_are_broken_by_ticker(spark):
+    """Equal counts of values in another order: sums of shares differ in their last bits, counts do not."""
+    rows = [(t, k, *((1.0,) * n + (None,) * (6 - n))) for t, ns in ((2, (6, 5, 4, 2, 6, 4, 1)), (1, (1, 4, 6, 2, 4, 5, 6)), (3, (4, 4, 4, 4, 4, 4, 4))) for k, n in enumerate(ns)]
+    names = [f"alpha_{k}" for k in range(6)]
+    table = spark.createDataFrame(rows, "ticker long, date int, " + ", ".join(f"{c} double" for c in names)).coalesce(1)
+    got = quality_checks.coverage_worst(table, names).collect()
+    assert [(r["ticker"], r["coverage"]) for r in got] == [(1, 28 / 42), (2, 28 / 42), (3, 28 / 42)]
+    assert quality_checks.coverage_worst(table.limit(0), names).count() == 0
+
+
 def test_signals_equal_pandas(spark, history):
     ids = [36, 51, 52, 55, 60, 61, 62, 63, 64, 71]
     got = add_signals(spark.createDataFrame(history), ids).toPandas().sort_values(["ticker", "date"], ignore_index=True)
