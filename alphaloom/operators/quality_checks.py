@@ -13,8 +13,12 @@ def check_row(name: str, ok: Column, detail: Column, severity: str = "FAIL") ->
 
 
 def missing_rates(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, missing_rate, all_missing, mostly_missing."""
-    rates = df.agg(*(F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns))
+    """column, missing_rate, all_missing, mostly_missing.
+
+    The flags go through an array function, as one generated method of many columns would be too long to be compiled.
+    """
+    flags = F.transform(F.array(*(F.col(c).isNull() for c in columns)), lambda x: x.cast("double"))
+    rates = df.select(flags.alias("_missing")).agg(*(F.avg(F.col("_missing")[k]).alias(c) for k, c in enumerate(columns)))
     out = rates.unpivot([], columns, "column", "missing_rate")
     return out.withColumn("all_missing", F.col("missing_rate") >= 1).withColumn("mostly_missing", F.col("missing_rate") > 0.5)
 
