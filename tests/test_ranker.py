@@ -1,6 +1,7 @@
 """The ranker against direct sums and a planted signal; enrichment against pandas and lstsq."""
 
 import datetime as dt
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,28 @@ def test_pair_gradients(objective, monkeypatch):
     assert not flat[0].any() and not flat[1].any()
 
 
+@pytest.mark.parametrize("objective", ["pairwise", "ndcg"])
+def test_pair_gradients_of_few_scores_do_not_form_the_pairs(objective):
+    """A block of a large universe in a first round: as a hundred such rows say, and without anything of rows times rows."""
+    rng = np.random.default_rng(5)
+    grade, score = rng.integers(0, 32, 20_000), rng.choice([-0.1, 0.0, 0.2, 0.3], 20_000)
+    tracemalloc.start()
+    g, h = ranker.pair_gradients(grade.astype(float), score, objective)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6, peak
+    assert abs(g.sum()) < 1e-6 * np.abs(g).sum() and (h >= 0).all()
+    place, weights = 1 / np.log2(np.argsort(np.argsort(-score, kind="stable"), kind="stable") + 2.0), 0.0
+    want = np.zeros((2, 100))
+    for i in range(20_000):
+        w = (grade[i] != grade) * (np.abs(grade[i] - grade) * np.abs(place[i] - place) if objective == "ndcg" else 1.0)
+        weights += w.sum() / 2
+        if i < 100:
+            rho = 1 / (1 + np.exp(np.where(grade[i] > grade, 1, -1) * (score[i] - score)))
+            want[:, i] = (np.where(grade[i] > grade, -rho, rho) * w).sum(), (rho * (1 - rho) * w).sum()
+    assert np.allclose(g[:100], want[0] * 20_000 / weights) and np.allclose(h[:100], want[1] * 20_000 / weights)
+
+
 def test_grow_takes_the_best_split():
     p = ranker.Params(max_depth=1, min_child_weight=1.0)
     rng = np.random.default_rng(3)
