@@ -2,6 +2,7 @@
 
 import datetime as dt
 import tracemalloc
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alphaloom.operators import enrichment, ranker
+from alphaloom.plans import model_queries
 
 
 def _panel(spark, dates=30, names=60, seed=1):
@@ -65,6 +67,33 @@ def test_pair_gradients_of_few_scores_do_not_form_the_pairs(objective):
     assert np.allclose(g[:100], want[0] * 20_000 / weights) and np.allclose(h[:100], want[1] * 20_000 / weights)
 
 
+@pytest.mark.parametrize("objective", ["pairwise", "ndcg"])
+@pytest.mark.parametrize("spread", [0.1, 3.0, 40.0])
+def test_pair_gradients_of_many_scores(objective, spread):
+    """Sums through moments against direct ones, over scores in tiles, the last of them not full."""
+    rng = np.random.default_rng(7)
+    grade, score = rng.integers(0, 32, 1500).astype(float), rng.normal(size=1500).round(3) * spread
+    place = 1 / np.log2(np.argsort(np.argsort(-score, kind="stable"), kind="stable") + 2.0)
+    better = (grade[:, None] > grade[None, :]).astype(float)
+    w = better if objective == "pairwise" else better * np.abs(grade[:, None] - grade[None, :]) * np.abs(place[:, None] - place[None, :])
+    rho = 1 / (1 + np.exp(np.clip(score[:, None] - score[None, :], -50, 50)))
+    want = ((rho * w).sum(0) - (rho * w).sum(1), (rho * (1 - rho) * w).sum(0) + (rho * (1 - rho) * w).sum(1))
+    for got, x in zip(ranker.pair_gradients(grade, score, objective), want):
+        assert np.abs(got - x * 1500 / w.sum()).max() < 1e-11 * np.abs(got).max()
+
+
+@pytest.mark.parametrize("objective", ["pairwise", "ndcg"])
+def test_pair_gradients_of_distinct_scores_do_not_form_the_pairs(objective):
+    """Twenty thousand rows without two equal scores: a strip of 512 of them against all took more than 80 MB for each of its matrices."""
+    rng = np.random.default_rng(6)
+    grade, score = rng.integers(0, 4, 20_000).astype(float), rng.normal(size=20_000) * 0.2
+    tracemalloc.start()
+    ranker.pair_gradients(grade, score, objective)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6, peak
+
+
 def test_grow_takes_the_best_split():
     p = ranker.Params(max_depth=1, min_child_weight=1.0)
     rng = np.random.default_rng(3)
@@ -110,6 +139,35 @@ def test_scores_kept_in_blocks_change_nothing(spark, monkeypatch):
     assert got[0] == got[1] and len(got[0][0]) == 5
 
 
+def test_models_trained_together_are_those_trained_alone(spark):
+    """Other features, depths, objectives, and rounds that end at other times."""
+    panel, one = _panel(spark, 24, 50), ranker.Params(rounds=10, eta=0.3, max_depth=2, bins=16, min_child_weight=1.0, early_stopping=2)
+    jobs = [(["alpha_2", "alpha_1"], [one, replace(one, objective="ndcg", rounds=3)]), (["alpha_1"], [replace(one, max_depth=1)])]
+    together = ranker.train_grids(panel, jobs, "y")
+    for (features, grid), (model, tried) in zip(jobs, together):
+        alone = [ranker.train_best(panel, features, "y", [p]) for p in grid]
+        assert [n for *_, n in tried] == [len(m.trees) for m, _ in alone]
+        assert np.allclose([ic for _, ic, _ in tried], [t[0][1] for _, t in alone], atol=1e-12)
+        same = next(m for m, _ in alone if m.params == model.params)
+        assert model.features == same.features and all(np.allclose(a.value, b.value) and (a.feature == b.feature).all() for a, b in zip(model.trees, same.trees))
+
+
+@pytest.mark.parametrize("query", ["ranker_importance", "ranker_diagnostics"])
+def test_queries_train_the_whole_grid(query, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def catch(panel, jobs, target, least=50):
+        raise Seen([grid for _, grid in jobs])
+
+    monkeypatch.setattr(model_queries, "_split_panel", lambda *_: None)
+    monkeypatch.setattr(ranker, "train_grids", catch)
+    with pytest.raises(Seen) as got:
+        getattr(model_queries, query)(None, "")
+    assert got.value.args[0] == [ranker.trials(o) for o in (("pairwise", "ndcg") if query == "ranker_importance" else ("ndcg",))]
+    assert all(len(g) == 6 and {p.rounds for p in g} == {200} for g in got.value.args[0])
+
+
 def test_ranker_edges(spark):
     panel = _panel(spark, 6, 60).withColumn("alpha_2", F.lit(None).cast("double"))  # no val date, one feature without values
     model, tried = ranker.train_best(panel, ["alpha_1", "alpha_2"], "y", [ranker.Params(rounds=2, max_depth=1)])
