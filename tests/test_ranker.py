@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from alphaloom.operators import enrichment, ranker
+from alphaloom.operators import enrichment, evidence, ranker
 from alphaloom.plans import model_queries
 
 
@@ -160,6 +160,7 @@ def test_queries_train_the_whole_grid(query, monkeypatch):
     def catch(panel, jobs, target, least=50):
         raise Seen([grid for _, grid in jobs])
 
+    monkeypatch.setattr(model_queries.P, "month_panel", lambda *_: None)
     monkeypatch.setattr(model_queries, "_split_panel", lambda *_: None)
     monkeypatch.setattr(ranker, "train_grids", catch)
     with pytest.raises(Seen) as got:
@@ -168,6 +169,25 @@ def test_queries_train_the_whole_grid(query, monkeypatch):
     assert all(len(g) == 6 and {p.rounds for p in g} == {200} for g in got.value.args[0])
 
 
+def test_ablation_query_runs_the_standard_experiments(monkeypatch):
+    """Of eight experiments two pairs have equal features and grids, as all signals are usable: six searches of six trials."""
+    jobs = []
+
+    class Panel:
+        class sparkSession:
+            createDataFrame = staticmethod(lambda rows, schema: rows)
+
+    monkeypatch.setattr(model_queries, "_ablation_months", lambda *_: None)
+    monkeypatch.setattr(model_queries, "_split_panel", lambda *_: Panel)
+    monkeypatch.setattr(ranker, "train_grids", lambda panel, asked, *_: jobs.extend(asked) or [(k, None) for k in range(len(asked))])
+    monkeypatch.setattr(ranker, "mean_rank_ics", lambda panel, models, target, split, least: [float(m) for m in models])
+    monkeypatch.setattr(evidence, "ablation_deltas", lambda rows, metrics: rows)
+    rows = model_queries.ranker_ablation(None, "")
+    assert [r[0] for r in rows] == [e.name for e in ranker.EXPERIMENTS] and {32, 34, 55, 66, 68} < set(model_queries._ABLATED)
+    assert [r[3:5] for r in rows] == [(15, 0.0), (15, 0.0), (14, 1.0), (14, 2.0), (13, 3.0), (13, 3.0), (15, 4.0), (13, 5.0)]
+    assert len(jobs) == 6 and all(grid == ranker.trials("pairwise", 500, k > 3) and len(grid) == 6 for k, (_, grid) in enumerate(jobs))
+
+
 def test_ranker_edges(spark):
     panel = _panel(spark, 6, 60).withColumn("alpha_2", F.lit(None).cast("double"))  # no val date, one feature without values
     model, tried = ranker.train_best(panel, ["alpha_1", "alpha_2"], "y", [ranker.Params(rounds=2, max_depth=1)])
